@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import hyperminhash, toxicity
+from reelgrid.llm import decontaminate, hyperminhash, mixing, sharding, toxicity
 from reelgrid.llm.base import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture, once an epoch."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected documents with their probability."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.rejected(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens and shard."""
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest verbatim match of every affected document and benchmark item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to remove as near duplicates and the one that stays for each."""
     return hyperminhash.duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op6_near_duplicates": op6_near_duplicates}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_sharding, op5_decontamination, op6_near_duplicates)}
+ORACLES = {"op2_mixing": mixing.oracle()}
