@@ -215,16 +215,23 @@ def _verifier(p: Params):
     return run
 
 
-def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+def shingle_sets(rows: DataFrame, need: DataFrame, p: Params) -> DataFrame:
+    """(id, set) of the wanted documents.
+
+    The join is a merge join at every size: the ids wanted grow with the
+    corpus, so they are never broadcast.
+    """
+    wanted = rows.withColumnRenamed("doc_id", "id").join(need.hint("merge"), "id", "left_semi")
+    return stored(wanted.groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_setter(p), "id bigint, set binary"))
+
+
+def verified(nodes: DataFrame, sets: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) that reach the threshold, with estimate and exact similarity."""
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
-    near = stored(near.mapInArrow(_estimator(p), "a bigint, b bigint, estimate double"))
-    need = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    sets = rows.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_setter(p), "id bigint, set binary")
-    sets = stored(sets)
+    near = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "ra", "rb", "na", "nb")
+    near = near.mapInArrow(_estimator(p), "a bigint, b bigint, estimate double")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
-    got = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "estimate")
+    got = near.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "sa", "sb", "estimate")
     return stored(got.mapInArrow(_verifier(p), "a bigint, b bigint, estimate double, jaccard double"))
 
 
@@ -239,14 +246,15 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     buckets = bands.groupBy("band").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
     buckets = stored(buckets.select(F.xxhash64("ids").alias("bucket"), "ids"))
     leads = buckets.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b")).distinct()
-    links = verified(rows, nodes, leads, p)
+    sets = shingle_sets(rows, buckets.select(F.explode("ids").alias("id")).distinct(), p)
+    links = verified(nodes, sets, leads, p)
     found = components(links)
     member = buckets.select("bucket", F.explode("ids").alias("id")).join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     part = member.groupBy("bucket", "root").agg(F.collect_list("id").alias("ids"))
     x, y = (part.select("bucket", F.col("root").alias(f"r{c}"), F.col("ids").alias(f"i{c}")) for c in "xy")
     cross = x.join(y, "bucket").where("rx < ry").select("iy", F.explode("ix").alias("x")).select("x", F.explode("iy").alias("y"))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(leads, ["a", "b"], "left_anti")
-    more = verified(rows, nodes, rest, p)
+    more = verified(nodes, sets, rest, p)
     same = copies.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b"))
     edges = links.select("a", "b").union(more.select("a", "b")).union(same.where("a <> b"))
     return components(edges).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
