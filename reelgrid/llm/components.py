@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,22 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == seen:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         seen = sign
+
+
+def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], same: DataFrame) -> DataFrame:
+    """(id, root) of the groups that pairs from the buckets make, once verified.
+
+    buckets: (bucket, ids), ids sorted and distinct; verify: keeps the true
+    ones of pairs (a, b); same: pairs known to be true.  First each id is
+    paired with the first of its bucket; then, across the components so
+    found, all pairs of a bucket are tried.  A pair within one component
+    can't change the groups, so the result is that of all pairs.
+    """
+    leads = buckets.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b")).distinct()
+    links = verify(leads).select("a", "b")
+    member = buckets.select("bucket", F.explode("ids").alias("id")).join(components(links).hint("merge"), "id", "left")
+    part = member.groupBy("bucket", F.coalesce("root", "id").alias("root")).agg(F.collect_list("id").alias("ids"))
+    x, y = (part.select("bucket", F.col("root").alias(f"r{c}"), F.col("ids").alias(f"i{c}")) for c in "xy")
+    cross = x.join(y, "bucket").where("rx < ry").select("iy", F.explode("ix").alias("x")).select("x", F.explode("iy").alias("y"))
+    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(leads, ["a", "b"], "left_anti")
+    return components(links.union(verify(rest).select("a", "b")).union(same.select("a", "b")))

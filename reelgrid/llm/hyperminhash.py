@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
 from reelgrid.llm.base import pick, place, positional, stored
-from reelgrid.llm.components import components
+from reelgrid.llm.components import linked
 
 _U = np.uint64
 
@@ -245,19 +245,10 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     bands = nodes.select("id", "regs").mapInArrow(_bander(p), "band bigint, id bigint")
     buckets = bands.groupBy("band").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
     buckets = stored(buckets.select(F.xxhash64("ids").alias("bucket"), "ids"))
-    leads = buckets.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b")).distinct()
     sets = shingle_sets(rows, buckets.select(F.explode("ids").alias("id")).distinct(), p)
-    links = verified(nodes, sets, leads, p)
-    found = components(links)
-    member = buckets.select("bucket", F.explode("ids").alias("id")).join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    part = member.groupBy("bucket", "root").agg(F.collect_list("id").alias("ids"))
-    x, y = (part.select("bucket", F.col("root").alias(f"r{c}"), F.col("ids").alias(f"i{c}")) for c in "xy")
-    cross = x.join(y, "bucket").where("rx < ry").select("iy", F.explode("ix").alias("x")).select("x", F.explode("iy").alias("y"))
-    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(leads, ["a", "b"], "left_anti")
-    more = verified(nodes, sets, rest, p)
-    same = copies.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b"))
-    edges = links.select("a", "b").union(more.select("a", "b")).union(same.where("a <> b"))
-    return components(edges).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    same = copies.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b")).where("a <> b")
+    found = linked(buckets, lambda pairs: verified(nodes, sets, pairs, p), same)
+    return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import decontaminate, hyperminhash, mixing, sharding, toxicity
+from reelgrid.llm import decontaminate, hyperminhash, langid, mixing, sharding, spotsigs, toxicity, windows
 from reelgrid.llm.base import table
 
 
@@ -34,5 +34,22 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_toxicity, op4_sharding, op5_decontamination, op6_near_duplicates)}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal intervals of windows of 50 tokens that occur more than once."""
+    return windows.intervals(table(spark, sf_dir, "documents"))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with similar signature sets."""
+    return spotsigs.groups(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+_ALL = (op2_mixing, op3_toxicity, op4_sharding, op5_decontamination, op6_near_duplicates, op7_substring_dedup, op9_spotsigs, op10_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op2_mixing": mixing.oracle()}
