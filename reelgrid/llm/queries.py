@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import decontaminate, hyperminhash, langid, mixing, sharding, spotsigs, toxicity, windows
+from reelgrid.llm import decontaminate, hyperminhash, langid, mixing, sharding, spotsigs, suffixes, toxicity, urlrules, windows
 from reelgrid.llm.base import table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal intervals of text that occurs again, by suffix sorting."""
+    return suffixes.intervals(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the mixture, once an epoch."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -39,6 +44,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.intervals(table(spark, sf_dir, "documents"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rules that its URL fires."""
+    pages = table(spark, sf_dir, "pages")
+    return urlrules.decisions(pages, urlrules.mine(pages, table(spark, sf_dir, "labels")))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with similar signature sets."""
     return spotsigs.groups(table(spark, sf_dir, "documents"))
@@ -50,6 +61,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-_ALL = (op2_mixing, op3_toxicity, op4_sharding, op5_decontamination, op6_near_duplicates, op7_substring_dedup, op9_spotsigs, op10_language_id)
+_ALL = (op1_suffix_array, op2_mixing, op3_toxicity, op4_sharding, op5_decontamination, op6_near_duplicates, op7_substring_dedup, op8_url_rules, op9_spotsigs, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op2_mixing": mixing.oracle()}
