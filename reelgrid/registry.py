@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.plans import grouping
+from reelgrid.plans import grouping, timelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (grouping,)
+_MODULES = (grouping, timelines)
 QUERIES: dict[str, Query] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
