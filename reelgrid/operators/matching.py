@@ -78,11 +78,13 @@ def distance_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, lh: st
     d = F.bit_count(F.col(lh).bitwiseXOR(F.col(rh))).cast("int")
     if most is None:
         return left.select(lid, lh).crossJoin(right.select(rid, rh)).select(lid, rid, d.alias("distance"))
-    parts = most + 1
-    width = -(-64 // parts)
+    if most >= 64:
+        raise ValueError("a bound of 64 bits is no bound")
+    ends = [i * 64 // (most + 1) for i in range(most + 2)]
 
     def cut(c: str) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(parts) if i * width < 64]))
+        bits = [F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1) if b - a < 64 else F.lit(-1)) for a, b in zip(ends, ends[1:], strict=False)]
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.cast("bigint").alias("v")) for i, v in enumerate(bits)]))
 
     both = left.select(lid, lh, cut(lh).alias("_p")).join(right.select(rid, rh, cut(rh).alias("_p")), "_p")
     return both.select(lid, rid, d.alias("distance")).where(F.col("distance") <= most).distinct()

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Scans and readers: file listings, timed text, probe documents, caches."""
