@@ -6,7 +6,9 @@ are cut alike wherever they stand.  Phrases that occur once can't be part
 of a repeat; what is left are runs of phrases that occur again and that
 span at least ``least`` tokens.  Every passage of ``passage`` tokens that
 occurs twice has such a run, since its cuts agree but for ``window`` tokens
-at either border.
+at either border.  Equal runs are sorted once: the places of a run whose equal
+stood before are repeats as they are, and the first of equal runs has
+repeats at all its places.
 
 The runs' suffixes are sorted by difference cover modulo 3.  Suffixes at
 places 1 and 2 modulo 3 are the sample: their triples are sorted, named in
@@ -56,7 +58,7 @@ class Params:
     #: Tokens of block at a time, of symbols in a bucket, and names that one task sorts.
     block_tokens: int = 1_000_000
     bucket_symbols: int = 1_000_000
-    base: int = 2_000_000
+    base: int = 4_000_000
 
     @property
     def least(self) -> int:
@@ -64,10 +66,11 @@ class Params:
         return self.passage - 4 * self.window + 2
 
 
-SENT = "bucket bigint, block bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
+SENT = "bucket bigint, block bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 BACK = "block bigint, kind int, bucket bigint, a binary, b binary, c binary, d binary"
-TEXTS = "block bigint, a binary, b binary, c binary, d binary"
-_SENT = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+TEXTS = "block bigint, n bigint, a binary, b binary, c binary, d binary, e binary"
+STRING = "block bigint, n bigint, a binary"
+_SENT = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
 _BACK = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
 
@@ -182,56 +185,121 @@ def _repeated(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_back(out)])
 
 
-def _strings(least: int, base: dict[int, int]):
-    """One block: its runs of repeated phrases as one padded string, with prefix fingerprints, and what locates them."""
-
-    def run(t: pa.Table) -> pa.Table:
-        kind, bucket, block = t.column("kind").to_numpy(), t.column("bucket").to_numpy(), int(t.column("block")[0].as_py())
+@dataclass
+class Runs:
+    """Runs of repeated phrases of one block that are long enough."""
+
+    docs: np.ndarray
+    tokens: np.ndarray
+    #: Of each phrase: its number, tokens, first token in the block, run.
+    number: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    run: np.ndarray
+    #: Of each run: first phrase, phrase after the last, hash.
+    first: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table, least: int, base: dict[int, int]) -> Runs:
+        kind, bucket = t.column("kind").to_pylist(), t.column("bucket").to_pylist()
         a, b, c = (t.column(x).to_pylist() for x in "abc")
-        d = int(np.flatnonzero(kind == 0)[0])
+        d = kind.index(0)
         counts, size = np.frombuffer(b[d], dtype=np.int64), np.frombuffer(c[d], dtype=np.uint8).astype(np.int64)
         number = np.full(len(size), -1, dtype=np.int64)
-        for i in np.flatnonzero(kind == 1):
-            number[_big(a[i])] = _big(b[i]) + base[int(bucket[i])]
-        names = ["block", "a", "b", "c", "d"]
-        types = [pa.int64(), *[pa.binary()] * 4]
+        for i, k in enumerate(kind):
+            if k == 1:
+                number[_big(a[i])] = _big(b[i]) + base[bucket[i]]
         doc = np.repeat(np.arange(len(counts)), counts)
         live = number >= 0
         new = live.copy()
         new[1:] &= ~live[:-1] | (doc[1:] != doc[:-1])
-        run_id = np.cumsum(new) - 1
+        run = np.cumsum(new) - 1
         ix = np.flatnonzero(live)
-        if len(ix):
-            spans = np.bincount(run_id[ix], weights=size[ix])
-            ix = ix[spans[run_id[ix]] >= least]
-        if not len(ix):
-            return pa.table({n: pa.array([], ty) for n, ty in zip(names, types, strict=True)})
-        rid = run_id[ix]
+        spans = np.bincount(run[ix], weights=size[ix]) if len(ix) else np.zeros(0)
+        ix = ix[spans[run[ix]] >= least]
         head = np.ones(len(ix), dtype=bool)
-        head[1:] = rid[1:] != rid[:-1]
-        at = np.arange(len(ix)) + np.cumsum(head) - 1
-        length = int(at[-1]) + 1
-        length += 3 + (-(length + 3)) % 3
-        sym = np.zeros(length, dtype=np.int64)
-        sym[: int(at[-1]) + 1] = 1
-        sym[at] = number[ix] + 2
-        # fingerprint of the shortest prefix of each suffix that spans enough tokens within its run
-        upto = np.concatenate([[0], np.cumsum(size[ix])])
-        last = np.searchsorted(upto, upto[:-1] + least)
-        ends = np.append(np.flatnonzero(head)[1:], len(ix))[np.cumsum(head) - 1]
-        ok = np.flatnonzero(last <= ends)
-        fp = np.zeros(length, dtype=_U)
-        fp[at[ok]] = tk.span_hashes(tk.mix(number[ix].astype(_U) + _U(1)), ok, last[ok]) | _U(1)
-        span = np.zeros(length, dtype=np.int64)
-        span[at[ok]] = upto[last[ok]] - upto[ok]
-        start = np.cumsum(size) - size
-        place = np.zeros(length, dtype=np.int64)
-        place[at] = start[ix]
-        docs = np.frombuffer(a[d], dtype=np.int64)
+        head[1:] = np.diff(run[ix]) != 0
+        first = np.flatnonzero(head)
+        end = np.append(first[1:], len(ix)).astype(np.int64)
         tokens = np.bincount(doc, weights=size, minlength=len(counts)).astype(np.int64)
-        rows = [(block, sym.tobytes(), fp.tobytes(), np.concatenate([place, span]).tobytes(), np.concatenate([docs, tokens]).tobytes())]
-        cols = list(zip(*rows, strict=True))
-        return pa.table({n: pa.array(x, ty) for n, x, ty in zip(names, cols, types, strict=True)})
+        h = tk.span_hashes(tk.mix(number[ix].astype(_U) + _U(1)), first, end) if len(ix) else np.zeros(0, dtype=_U)
+        return cls(np.frombuffer(a[d], dtype=np.int64), tokens, number[ix], size[ix], (np.cumsum(size) - size)[ix], np.cumsum(head) - 1, first, end, h)
+
+
+def _send_runs(least: int, base: dict[int, int], buckets: int):
+    """One block: the hash of each of its runs."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block, r = int(t.column("block")[0].as_py()), Runs.of(t, least, base)
+        to = (r.hash % _U(buckets)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        rows = [(int(to[part[0]]), block, 1, _small(part), r.hash[part].tobytes()) for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1)] if len(by) else []
+        return pa.Table.from_batches([_sent(rows)])
+
+    return run
+
+
+def _equal_runs(t: pa.Table) -> pa.Table:
+    """One bucket of runs: 0 for a run that has no equal, 1 for the first of equal ones, 2 for the others."""
+    block, bucket = t.column("block").to_numpy(), int(t.column("bucket")[0].as_py())
+    rows = np.argsort(block, kind="stable")
+    a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+    at = [_big(a[i]) for i in rows]
+    _, inv, n = np.unique(np.concatenate([np.frombuffer(b[i], dtype=_U) for i in rows]), return_inverse=True, return_counts=True)
+    by = np.argsort(inv, kind="stable")
+    first = np.zeros(len(inv), dtype=bool)
+    first[by[np.cumsum(n) - n]] = True
+    code = np.where(n[inv] == 1, 0, np.where(first, 1, 2))
+    out: list = []
+    _split_back(out, [int(block[i]) for i in rows], list(map(len, at)), bucket, 3, np.concatenate(at), code)
+    return pa.Table.from_batches([_back(out)])
+
+
+def _strings(least: int, base: dict[int, int]):
+    """One block: its runs, but for those with an earlier equal, as one padded string.
+
+    a: symbols; b: fingerprint of each suffix's prefix; c: first token and
+    span of the prefix; d: texts and their tokens; e: places of the runs
+    that have an earlier equal, and whether a symbol's run has later ones.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, block = t.column("kind").to_pylist(), int(t.column("block")[0].as_py())
+        r = Runs.of(t, least, base)
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        if not len(r.number):
+            return pa.Table.from_batches([_batch([], TEXTS, types)])
+        a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+        code = np.zeros(len(r.first), dtype=np.int64)
+        for i, k in enumerate(kind):
+            if k == 3:
+                code[_big(a[i])] = _big(b[i])
+        # the shortest prefix of each suffix that spans enough tokens within its run
+        upto = np.concatenate([[0], np.cumsum(r.size)])
+        last = np.searchsorted(upto, upto[:-1] + least)
+        ok = last <= r.end[r.run]
+        span = np.where(ok, upto[np.minimum(last, len(r.size))] - upto[:-1], 0)
+        own = code[r.run] < 2
+        gone = np.flatnonzero(~own & ok)
+        ix = np.flatnonzero(own)
+        head = np.ones(len(ix), dtype=bool)
+        head[1:] = np.diff(r.run[ix]) != 0
+        at = np.arange(len(ix)) + np.cumsum(head) - 1
+        length = int(at[-1]) + 1 if len(ix) else 0
+        full = length + 3 + (-(length + 3)) % 3
+        sym, place, spans, copied = (np.zeros(full, dtype=np.int64) for _ in range(4))
+        fp = np.zeros(full, dtype=_U)
+        sym[:length] = 1
+        sym[at] = r.number[ix] + 2
+        place[at], spans[at], copied[at] = r.place[ix], span[ix], code[r.run[ix]]
+        use = np.flatnonzero(own & ok)
+        if len(use):
+            fp[at[np.searchsorted(ix, use)]] = tk.span_hashes(tk.mix(r.number.astype(_U) + _U(1)), use, last[use]) | _U(1)
+        e = len(gone).to_bytes(8, "little") + r.place[gone].astype(np.uint32).tobytes() + span[gone].astype(np.uint32).tobytes() + copied.astype(np.uint8).tobytes()
+        row = (block, full, _small(sym), fp.tobytes(), place.astype(np.uint32).tobytes() + spans.astype(np.uint32).tobytes(), np.concatenate([r.docs, r.tokens]).tobytes(), e)
+        return pa.Table.from_batches([_batch([row], TEXTS, types)])
 
     return run
 
@@ -267,7 +335,7 @@ def _sample(step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(1).to_pylist():
-                s = np.frombuffer(raw, dtype=np.int64)
+                s = _big(raw)
                 at = np.arange(step // 2 % max(len(s), 1), len(s), step)
                 cols = [pa.array(_next(s, k)[at] if k else s[at]) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(cols, ["x", "y", "z"])
@@ -280,7 +348,7 @@ def _send_triples(splits: list[np.ndarray]):
         for batch in batches:
             rows = []
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(raw, dtype=np.int64)
+                s = _big(raw)
                 at = np.flatnonzero(np.arange(len(s)) % 3)
                 x, y, z = s[at], _next(s, 1)[at], _next(s, 2)[at]
                 to = lex_bucket([x, y, z], splits)
@@ -328,7 +396,7 @@ def _name_strings(base: dict[int, int]):
         length += -length % 3
         s = np.zeros(length, dtype=np.int64)
         s[np.where(at % 3 == 1, at // 3, half + 3 + at // 3)] = name
-        return pa.table({"block": pa.array([block]), "a": pa.array([s.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([block]), "n": pa.array([length]), "a": pa.array([_small(s)], pa.binary())})
 
     return run
 
@@ -339,22 +407,23 @@ def _send_suffixes(splits: list[np.ndarray], with_prefix: bool):
     def run(t: pa.Table) -> pa.Table:
         block, kind, a, b = int(t.column("block")[0].as_py()), t.column("kind").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist()
         i = kind.index(0)
-        s = np.frombuffer(a[i], dtype=np.int64)
+        s = _big(a[i])
         n = len(s)
         rank = np.zeros(n + 3, dtype=np.int64)
-        r = np.frombuffer(a[kind.index(1)], dtype=np.int64)
+        r = _big(a[kind.index(1)])
         half = n // 3
         rank[1:n:3], rank[2:n:3] = r[:half], r[half + 3 : 2 * half + 3]
         at = np.arange(n)
         if with_prefix:
             fp = np.frombuffer(b[i], dtype=np.int64)
+            copied = np.frombuffer(t.column("e")[i].as_py()[-n:], dtype=np.uint8)
         x, y = s, _next(s, 1)
         to = lex_bucket([x, y], splits)
         by = np.argsort(to, kind="stable")
         rows = []
         for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
             own = [_small(at[part]), _small(x[part]), _small(y[part]), _small(np.where(part % 3 == 0, rank[part + 1], rank[part])), _small(np.where(part % 3 == 1, rank[part + 1], rank[part + 2]))]
-            rows.append((int(to[part[0]]), block, 1, *own, fp[part].tobytes() if with_prefix else b""))
+            rows.append((int(to[part[0]]), block, 1, *own, *((fp[part].tobytes(), copied[part].tobytes()) if with_prefix else ())))
         return pa.Table.from_batches([_sent(rows)])
 
     return run
@@ -406,7 +475,7 @@ def _gather_ranks(base: dict[int, int]):
         at = np.concatenate([_big(r) for r in t.column("a").to_pylist()])
         rank = np.empty(len(at), dtype=np.int64)
         rank[at] = np.concatenate([_big(r) + base[int(k)] for k, r in zip(bucket, t.column("b").to_pylist(), strict=True)])
-        return pa.table({"block": pa.array([block]), "a": pa.array([rank.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([block]), "n": pa.array([len(rank)]), "a": pa.array([_small(rank)], pa.binary())})
 
     return run
 
@@ -419,10 +488,12 @@ def _compare_neighbours(t: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(blocks)), sizes)
     block = np.array(blocks, dtype=np.int64)[row]
     f = fp[order]
+    copied = np.concatenate([np.frombuffer(r, dtype=np.uint8) for r in t.column("g").to_pylist()]).astype(bool)[order]
     same = np.zeros(len(f), dtype=bool)
     same[1:] = (f[1:] == f[:-1]) & (f[1:] != 0)
     many = same.copy()
     many[:-1] |= same[1:]
+    many |= copied & (f != 0)
     group = np.cumsum(~same)[many]
     where = order[many]
     by = np.lexsort((at[where], block[where], group))
@@ -443,7 +514,7 @@ def _compare_neighbours(t: pa.Table) -> pa.Table:
 
 def _base_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All strings in one task, by prefix doubling."""
-    rows = sorted(((k, np.frombuffer(s, dtype=np.int64)) for b in batches for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), key=lambda r: r[0])
+    rows = sorted(((k, _big(s)) for b in batches for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), key=lambda r: r[0])
     if rows:
         s = np.concatenate([x for _, x in rows])
         ends = np.cumsum([len(x) for _, x in rows])
@@ -452,7 +523,7 @@ def _base_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(s), dtype=np.int64)
         rank[order] = np.arange(1, len(s) + 1)
         for (k, x), e in zip(rows, ends, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([rank[e - len(x) : e].tobytes()], pa.binary())], ["block", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(x)]), pa.array([_small(rank[e - len(x) : e])], pa.binary())], ["block", "n", "a"])
 
 
 def _offsets(back: DataFrame) -> tuple[dict[int, int], int, int]:
@@ -478,7 +549,7 @@ def _splitters(strings: DataFrame, n: int, p: Params) -> list[np.ndarray]:
 
 
 def _length(strings: DataFrame) -> int:
-    return (strings.agg(F.sum(F.octet_length("a"))).first()[0] or 0) // 8
+    return strings.agg(F.sum("n")).first()[0] or 0
 
 
 def _tidy(df: DataFrame) -> None:
@@ -489,15 +560,15 @@ def _tidy(df: DataFrame) -> None:
 
 def _with_ranks(strings: DataFrame, p: Params, splits: list[np.ndarray], prefix: bool) -> DataFrame:
     """Suffixes of all blocks on their way to the merge."""
-    sent = strings.mapInArrow(_send_triples(splits), SENT)
+    sent = strings.select("block", "a").mapInArrow(_send_triples(splits), SENT)
     named = stored(sent.groupBy("bucket").applyInArrow(_name, BACK))
     base, names, rows = _offsets(named)
-    short = stored(named.where("kind = 1").groupBy("block").applyInArrow(_name_strings(base), "block bigint, a binary"))
+    short = stored(named.where("kind = 1").groupBy("block").applyInArrow(_name_strings(base), STRING))
     sampled = short if names == rows else ranks(short, p)
     zero = F.lit(0).alias("kind")
-    none = F.lit(None).cast("binary").alias("b")
-    own = strings.select("block", zero, "a", "b" if prefix else none)
-    both = own.union(sampled.select("block", F.lit(1).alias("kind"), "a", none))
+    none = F.lit(None).cast("binary")
+    own = strings.select("block", zero, "a", *(("b", "e") if prefix else (none.alias("b"), none.alias("e"))))
+    both = own.union(sampled.select("block", F.lit(1).alias("kind"), "a", none, none))
     return both.groupBy("block").applyInArrow(_send_suffixes(splits[:2], prefix), SENT)
 
 
@@ -505,31 +576,38 @@ def ranks(strings: DataFrame, p: Params) -> DataFrame:
     """(block, a): the rank of every suffix of every block's string."""
     n = _length(strings)
     if n <= p.base:
-        return stored(strings.select("block", "a").repartition(1).mapInArrow(_base_sort, "block bigint, a binary"))
+        return stored(strings.select("block", "a").repartition(1).mapInArrow(_base_sort, STRING))
     splits = _splitters(strings, n, p)
     merged = stored(_with_ranks(strings, p, splits, False).groupBy("bucket").applyInArrow(_rank_bucket, BACK))
     base, _, _ = _offsets(merged)
-    out = stored(merged.where("kind = 1").groupBy("block").applyInArrow(_gather_ranks(base), "block bigint, a binary"))
+    out = stored(merged.where("kind = 1").groupBy("block").applyInArrow(_gather_ranks(base), STRING))
     _tidy(strings)
     return out
 
 
 def _intervals(t: pa.Table) -> pa.Table:
     """One block: repeated places as token intervals of their texts."""
-    kind, a, b, c, d = (t.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d"))
+    kind, a, b, c, d, e = (t.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d", "e"))
     i = kind.index(0)
-    place, span = np.frombuffer(c[i], dtype=np.int64).reshape(2, -1)
+    place, span = np.frombuffer(c[i], dtype=np.uint32).astype(np.int64).reshape(2, -1)
     ids, tokens = np.frombuffer(d[i], dtype=np.int64).reshape(2, -1)
+    gone = int.from_bytes(e[i][:8], "little")
+    gone_place, gone_span = np.frombuffer(e[i], dtype=np.uint32, offset=8, count=2 * gone).astype(np.int64).reshape(2, -1)
     hits = [k for k, v in enumerate(kind) if v == 1]
     parts = []
-    if hits:
-        at, role = np.concatenate([_big(a[k]) for k in hits]), np.concatenate([_big(b[k]) for k in hits])
+    if hits or gone:
+        none = [np.zeros(0, dtype=np.int64)]
+        at, role = np.concatenate(none + [_big(a[k]) for k in hits]), np.concatenate(none + [_big(b[k]) for k in hits])
         ends = np.cumsum(tokens)
         for r in (0, 1):
-            x = np.sort(at[role == r])
+            x = at[role == r]
+            start, stop = place[x], place[x] + span[x]
+            if r:
+                start, stop = np.concatenate([start, gone_place]), np.concatenate([stop, gone_place + gone_span])
+            x = by = np.argsort(start, kind="stable")
             if not len(x):
                 continue
-            start, stop = place[x], place[x] + span[x]
+            start, stop = start[by], stop[by]
             doc = np.searchsorted(ends, start, side="right")
             most = np.maximum.accumulate(stop)
             new = np.ones(len(x), dtype=bool)
@@ -555,13 +633,15 @@ def intervals(docs: DataFrame, params: Params = Params()) -> DataFrame:
     buckets = max(1, -(-size // (12 * p.bucket_symbols)))
     numbered = stored(rows.mapInArrow(_phrases(p, buckets), SENT).groupBy("bucket").applyInArrow(_repeated, BACK))
     base, _, _ = _offsets(numbered)
-    strings = stored(numbered.where("kind < 2").groupBy("block").applyInArrow(_strings(p.least, base), TEXTS))
+    numbered_ = numbered.where("kind < 2")
+    runs = numbered_.groupBy("block").applyInArrow(_send_runs(p.least, base, buckets), SENT).groupBy("bucket").applyInArrow(_equal_runs, BACK)
+    strings = stored(numbered_.union(runs).groupBy("block").applyInArrow(_strings(p.least, base), TEXTS))
     _tidy(docs)
     n = _length(strings)
     if not n:
         return docs.sparkSession.createDataFrame([], FOUND)
     splits = _splitters(strings, n, p)
-    sorted_ = _with_ranks(strings.select("block", "a", "b"), p, splits, True).groupBy("bucket").applyInArrow(_compare_neighbours, BACK)
+    sorted_ = _with_ranks(strings, p, splits, True).groupBy("bucket").applyInArrow(_compare_neighbours, BACK)
     none = F.lit(None).cast("binary")
-    where = strings.select("block", F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), "c", "d")
-    return where.union(sorted_.select("block", "kind", "a", "b", none, none)).groupBy("block").applyInArrow(_intervals, FOUND)
+    where = strings.select("block", F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), "c", "d", "e")
+    return where.union(sorted_.select("block", "kind", "a", "b", none, none, none)).groupBy("block").applyInArrow(_intervals, FOUND)
