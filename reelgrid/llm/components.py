@@ -40,17 +40,30 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], same: DataFrame) -> DataFrame:
     """(id, root) of the groups that pairs from the buckets make, once verified.
 
-    buckets: (bucket, ids), ids sorted and distinct; verify: keeps the true
-    ones of pairs (a, b); same: pairs known to be true.  First each id is
-    paired with the first of its bucket; then, across the components so
-    found, all pairs of a bucket are tried.  A pair within one component
-    can't change the groups, so the result is that of all pairs.
+    buckets: (bucket, ids, weight), ids sorted and distinct; verify: keeps
+    the true ones of pairs (a, b, met), met being the weight of the buckets
+    that they share; same: pairs known to be true.  First each id is paired
+    with one id: of the first ids of its buckets, the one it meets most
+    often; then, across the components so found, all pairs of a bucket are
+    tried.  A pair within one component can't change the groups, so the
+    result is that of all pairs.
     """
-    leads = buckets.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b")).distinct()
+    firsts = buckets.select("weight", F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"))
+    firsts = firsts.groupBy("a", "b").agg(F.sum("weight").alias("met"))
+    best = firsts.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("a"))).alias("x"))
+    leads = cut(best.select((-F.col("x.a")).alias("a"), "b", F.col("x.met").alias("met")))
     links = verify(leads).select("a", "b")
-    member = buckets.select("bucket", F.explode("ids").alias("id")).join(components(links).hint("merge"), "id", "left")
-    part = member.groupBy("bucket", F.coalesce("root", "id").alias("root")).agg(F.collect_list("id").alias("ids"))
-    x, y = (part.select("bucket", F.col("root").alias(f"r{c}"), F.col("ids").alias(f"i{c}")) for c in "xy")
-    cross = x.join(y, "bucket").where("rx < ry").select("iy", F.explode("ix").alias("x")).select("x", F.explode("iy").alias("y"))
-    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(leads, ["a", "b"], "left_anti")
+    member = buckets.select("bucket", "weight", F.explode("ids").alias("id")).join(components(links).hint("merge"), "id", "left")
+    part = member.groupBy("bucket", "weight", F.coalesce("root", "id").alias("root")).agg(F.collect_list("id").alias("ids"))
+    x = part.select("bucket", "weight", F.col("root").alias("rx"), F.col("ids").alias("ix"))
+    y = part.select("bucket", F.col("root").alias("ry"), F.col("ids").alias("iy"))
+    cross = x.join(y, "bucket").where("rx < ry").select("weight", "iy", F.explode("ix").alias("x")).select("weight", "x", F.explode("iy").alias("y"))
+    rest = cross.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("met"))
+    rest = rest.join(leads.select("a", "b"), ["a", "b"], "left_anti")
     return components(links.union(verify(rest).select("a", "b")).union(same.select("a", "b")))
+
+
+def distinct_buckets(lists: DataFrame) -> DataFrame:
+    """(bucket, ids, weight): lists of ids with two or more, equal ones once with their number as weight."""
+    own = lists.where("size(ids) > 1").groupBy("ids").agg(F.count("*").alias("weight"))
+    return own.select(F.xxhash64("ids").alias("bucket"), "ids", "weight")

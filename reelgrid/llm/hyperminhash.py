@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
 from reelgrid.llm.base import pick, place, positional, stored
-from reelgrid.llm.components import linked
+from reelgrid.llm.components import distinct_buckets, linked
 
 _U = np.uint64
 
@@ -243,8 +243,7 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     copies = stored(sketch.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("regs").alias("regs"), F.collect_set("doc_id").alias("ids")))
     nodes = copies.select("id", "n", "regs")
     bands = nodes.select("id", "regs").mapInArrow(_bander(p), "band bigint, id bigint")
-    buckets = bands.groupBy("band").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
-    buckets = stored(buckets.select(F.xxhash64("ids").alias("bucket"), "ids"))
+    buckets = stored(distinct_buckets(bands.groupBy("band").agg(F.array_sort(F.collect_set("id")).alias("ids"))))
     sets = shingle_sets(rows, buckets.select(F.explode("ids").alias("id")).distinct(), p)
     same = copies.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b")).where("a <> b")
     found = linked(buckets, lambda pairs: verified(nodes, sets, pairs, p), same)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
 from reelgrid.llm.base import pick, stored
-from reelgrid.llm.components import linked
+from reelgrid.llm.components import distinct_buckets, linked
 
 _U = np.uint64
 
@@ -190,14 +190,21 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     prints = rows.mapInArrow(_printer(p, shared), "doc_id bigint, f1 bigint, f2 bigint, sigs binary")
     nodes = stored(prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.collect_set("doc_id").alias("ids"), F.first("sigs").alias("sigs")))
     lists = nodes.select("id", "sigs").mapInArrow(_lister(p), "part int, sig bigint, id bigint").groupBy("part", "sig").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    buckets = stored(lists.where("size(ids) > 1").select("ids").distinct().select(F.xxhash64("ids").alias("bucket"), "ids"))
+    buckets = stored(distinct_buckets(lists))
     known = stored(nodes.select("id", "sigs").join(buckets.select(F.explode("ids").alias("id")).distinct().hint("merge"), "id", "left_semi"))
+    length = (F.length("sigs") / 6).cast("int")
+    tau = p.threshold
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: known.select(F.col("id").alias(c), F.col("sigs").alias(f"s{c}"), F.length("sigs").alias(f"n{c}"))
-        near = pairs.join(side("a").hint("merge"), "a").select("a", "b", "sa", "na").join(side("b").hint("merge"), "b")
-        near = near.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(p.threshold) - 1e-6).select("a", "b", "sa", "sb")
-        return stored(near.mapInArrow(_comparer(p), "a bigint, b bigint"))
+        """Length pruning; then overlap pruning: what two sets share is at most the shared prefix signatures (``met``) and one set's remainder."""
+        for c in "ab":
+            pairs = pairs.join(known.select(F.col("id").alias(c), length.alias(f"n{c}")).hint("merge"), c)
+        near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(tau) - 1e-6
+        enough = F.col("met") >= (F.col("na") + F.col("nb")) * F.lit(tau / (1 + tau)) - F.ceil(F.greatest("na", "nb") * F.lit(tau) - 1e-9) + 1 - 1e-6
+        pairs = pairs.where(near & enough).select("a", "b")
+        for c in "ab":
+            pairs = pairs.join(known.select(F.col("id").alias(c), F.col("sigs").alias(f"s{c}")).hint("merge"), c)
+        return stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_comparer(p), "a bigint, b bigint"))
 
     same = nodes.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b")).where("a <> b")
     return linked(buckets, verify, same).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
