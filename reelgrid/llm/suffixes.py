@@ -13,7 +13,10 @@ repeats at all its places.
 The runs' suffixes are sorted by difference cover modulo 3.  Suffixes at
 places 1 and 2 modulo 3 are the sample: their triples are sorted, named in
 order, and the strings of names are sorted by the same algorithm, down to
-``base`` names, which one task sorts by prefix doubling.  The remaining
+``base`` names, which one task sorts by prefix doubling.  Of neighbouring
+names that occur once only the first goes into these strings, since no
+comparison looks past it; a rank is the name and, where it occurs again,
+the rank among the strings of names.  The remaining
 suffixes, place 0 modulo 3, are sorted by first symbol and next rank and
 merged in.  Then neighbours in the suffix array are compared: where their
 prefixes of ``least`` tokens agree, both are repeats.  Each group of equal
@@ -66,11 +69,11 @@ class Params:
         return self.passage - 4 * self.window + 2
 
 
-SENT = "bucket bigint, block bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+SENT = "bucket bigint, block bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, i binary"
 BACK = "block bigint, kind int, bucket bigint, a binary, b binary, c binary, d binary"
 TEXTS = "block bigint, n bigint, a binary, b binary, c binary, d binary, e binary"
 STRING = "block bigint, n bigint, a binary"
-_SENT = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
+_SENT = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 9]
 _BACK = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
 
@@ -368,7 +371,7 @@ def _split_back(out: list, blocks: list[int], sizes: list[int], bucket: int, kin
 
 
 def _name(t: pa.Table) -> pa.Table:
-    """One bucket of triples: each one's name in order, from 1."""
+    """One bucket of triples: each one's name, its first place in order from 1, and in the last bit whether it occurs once."""
     blocks, bucket = t.column("block").to_pylist(), int(t.column("bucket")[0].as_py())
     at, x, y, z = ([_big(r) for r in t.column(c).to_pylist()] for c in "abcd")
     sizes = list(map(len, at))
@@ -376,27 +379,38 @@ def _name(t: pa.Table) -> pa.Table:
     by = np.lexsort((z, y, x))
     new = np.ones(len(by), dtype=bool)
     new[1:] = (np.diff(x[by]) != 0) | (np.diff(y[by]) != 0) | (np.diff(z[by]) != 0)
+    heads = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    once = np.diff(np.append(heads, len(by))) == 1
     name = np.empty(len(by), dtype=np.int64)
-    name[by] = np.cumsum(new)
-    out: list = [(-1, 2, bucket, int(new.sum()).to_bytes(8, "little"), len(by).to_bytes(8, "little"))]
+    name[by] = (heads[group] + 1) * 2 + once[group]
+    out: list = [(-1, 2, bucket, len(by).to_bytes(8, "little"), int(once.sum()).to_bytes(8, "little"))]
     _split_back(out, blocks, sizes, bucket, 1, at, name)
     return pa.Table.from_batches([_back(out)])
 
 
+def _needed(name: np.ndarray) -> np.ndarray:
+    """Which names the shorter strings hold: those that occur again, and what follows them."""
+    again = (name > 0) & (name % 2 == 0)
+    need = again.copy()
+    need[1:] |= again[:-1]
+    return need
+
+
 def _name_strings(base: dict[int, int]):
-    """One block: names of places 1 modulo 3, three pads, names of places 2 modulo 3, pads."""
+    """One block: names of places 1 modulo 3, three pads, names of places 2 modulo 3, pads (b); and what of them must be sorted (a)."""
 
     def run(t: pa.Table) -> pa.Table:
         block, bucket = int(t.column("block")[0].as_py()), t.column("bucket").to_numpy()
         at = [_big(r) for r in t.column("a").to_pylist()]
-        name = [_big(r) + base[int(k)] for k, r in zip(bucket, t.column("b").to_pylist(), strict=True)]
+        name = [_big(r) + 2 * base[int(k)] for k, r in zip(bucket, t.column("b").to_pylist(), strict=True)]
         at, name = np.concatenate(at), np.concatenate(name)
         half = len(at) // 2
-        length = 2 * half + 6
-        length += -length % 3
-        s = np.zeros(length, dtype=np.int64)
-        s[np.where(at % 3 == 1, at // 3, half + 3 + at // 3)] = name
-        return pa.table({"block": pa.array([block]), "n": pa.array([length]), "a": pa.array([_small(s)], pa.binary())})
+        full = np.zeros(2 * half + 6, dtype=np.int64)
+        full[np.where(at % 3 == 1, at // 3, half + 3 + at // 3)] = name
+        s = full[_needed(full)] >> 1
+        s = np.concatenate([s, np.zeros(3 + -len(s) % 3, dtype=np.int64)])
+        return pa.table({"block": pa.array([block]), "n": pa.array([len(s)]), "a": pa.array([_small(s)], pa.binary()), "b": pa.array([_small(full)], pa.binary())})
 
     return run
 
@@ -409,10 +423,17 @@ def _send_suffixes(splits: list[np.ndarray], with_prefix: bool):
         i = kind.index(0)
         s = _big(a[i])
         n = len(s)
-        rank = np.zeros(n + 3, dtype=np.int64)
-        r = _big(a[kind.index(1)])
+        # a rank is the name, then the rank among the strings of names where the name occurs again
+        full = _big(b[kind.index(2)])
+        need = _needed(full)
+        second = np.zeros(len(full), dtype=np.int64)
+        if 1 in kind:
+            second[need] = _big(a[kind.index(1)])[: int(need.sum())]
+        second[full % 2 == 1] = 0
         half = n // 3
-        rank[1:n:3], rank[2:n:3] = r[:half], r[half + 3 : 2 * half + 3]
+        rank, rank2 = np.zeros((2, n + 3), dtype=np.int64)
+        for r, x in ((rank, full >> 1), (rank2, second)):
+            r[1:n:3], r[2:n:3] = x[:half], x[half + 3 : 2 * half + 3]
         at = np.arange(n)
         if with_prefix:
             fp = np.frombuffer(b[i], dtype=np.int64)
@@ -420,9 +441,12 @@ def _send_suffixes(splits: list[np.ndarray], with_prefix: bool):
         x, y = s, _next(s, 1)
         to = lex_bucket([x, y], splits)
         by = np.argsort(to, kind="stable")
+        if with_prefix:  # shorter suffixes can't be repeats
+            by = by[fp[by] != 0]
         rows = []
-        for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
-            own = [_small(at[part]), _small(x[part]), _small(y[part]), _small(np.where(part % 3 == 0, rank[part + 1], rank[part])), _small(np.where(part % 3 == 1, rank[part + 1], rank[part + 2]))]
+        for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+            one, two = np.where(part % 3 == 0, part + 1, part), np.where(part % 3 == 1, part + 1, part + 2)
+            own = [_small(v) for v in (at[part], x[part], y[part], rank[one], rank[two], rank2[one], rank2[two])]
             rows.append((int(to[part[0]]), block, 1, *own, *((fp[part].tobytes(), copied[part].tobytes()) if with_prefix else ())))
         return pa.Table.from_batches([_sent(rows)])
 
@@ -432,22 +456,23 @@ def _send_suffixes(splits: list[np.ndarray], with_prefix: bool):
 def _merged(t: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
     """Blocks, their sizes, places and the order of one bucket's suffixes."""
     blocks = t.column("block").to_pylist()
-    cols = [[_big(r) for r in t.column(c).to_pylist()] for c in "abcde"]
+    cols = [[_big(r) for r in t.column(c).to_pylist()] for c in "abcdefg"]
     sizes = list(map(len, cols[0]))
-    at, x, y, p, q = map(np.concatenate, cols)
-    # p: rank of the next suffix for places 0, else the own rank; q: rank of the one after (places 0, 2), of the next (places 1)
+    at, x, y, p, q, p2, q2 = map(np.concatenate, cols)
+    # p, p2: rank of the next suffix for places 0, else the own rank; q, q2: rank of the one after (places 0, 2), of the next (places 1)
     zero = np.flatnonzero(at % 3 == 0)
     rest = np.flatnonzero(at % 3)
-    zero = zero[np.lexsort((p[zero], x[zero]))]
-    rest = rest[np.argsort(p[rest], kind="stable")]
+    zero = zero[np.lexsort((p2[zero], p[zero], x[zero]))]
+    rest = rest[np.lexsort((p2[rest], p[rest]))]
     lo, hi = np.zeros(len(zero), dtype=np.int64), np.full(len(zero), len(rest), dtype=np.int64)
     while (live := np.flatnonzero(lo < hi)).size:
         mid = (lo[live] + hi[live]) // 2
         i, j = zero[live], rest[mid]
         one = at[j] % 3 == 1
         tail_i, tail_j = np.where(one, p[i], q[i]), q[j]
+        last_i, last_j = np.where(one, p2[i], q2[i]), q2[j]
         mid_i, mid_j = np.where(one, 0, y[i]), np.where(one, 0, y[j])
-        less = (x[j] < x[i]) | ((x[j] == x[i]) & ((mid_j < mid_i) | ((mid_j == mid_i) & (tail_j < tail_i))))
+        less = (x[j] < x[i]) | ((x[j] == x[i]) & ((mid_j < mid_i) | ((mid_j == mid_i) & ((tail_j < tail_i) | ((tail_j == tail_i) & (last_j < last_i))))))
         lo[live] = np.where(less, mid + 1, lo[live])
         hi[live] = np.where(less, hi[live], mid)
     slot_zero = lo + np.arange(len(zero))
@@ -484,11 +509,11 @@ def _compare_neighbours(t: pa.Table) -> pa.Table:
     """One bucket of the suffix array: places whose prefix equals a neighbour's; the first of each group has role 0."""
     blocks, sizes, at, order = _merged(t)
     bucket = int(t.column("bucket")[0].as_py())
-    fp = np.concatenate([np.frombuffer(r, dtype=np.int64) for r in t.column("f").to_pylist()])
+    fp = np.concatenate([np.frombuffer(r, dtype=np.int64) for r in t.column("h").to_pylist()])
     row = np.repeat(np.arange(len(blocks)), sizes)
     block = np.array(blocks, dtype=np.int64)[row]
     f = fp[order]
-    copied = np.concatenate([np.frombuffer(r, dtype=np.uint8) for r in t.column("g").to_pylist()]).astype(bool)[order]
+    copied = np.concatenate([np.frombuffer(r, dtype=np.uint8) for r in t.column("i").to_pylist()]).astype(bool)[order]
     same = np.zeros(len(f), dtype=bool)
     same[1:] = (f[1:] == f[:-1]) & (f[1:] != 0)
     many = same.copy()
@@ -527,7 +552,7 @@ def _base_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _offsets(back: DataFrame) -> tuple[dict[int, int], int, int]:
-    """Names before each bucket, all names and all rows."""
+    """What the buckets before each bucket hold, all that they hold, and the sum of their second figure."""
     stats = back.where("kind = 2").select("bucket", "a", "b").collect()
     base, names, rows = {}, 0, 0
     for r in sorted(stats, key=lambda r: r.bucket):
@@ -562,13 +587,14 @@ def _with_ranks(strings: DataFrame, p: Params, splits: list[np.ndarray], prefix:
     """Suffixes of all blocks on their way to the merge."""
     sent = strings.select("block", "a").mapInArrow(_send_triples(splits), SENT)
     named = stored(sent.groupBy("bucket").applyInArrow(_name, BACK))
-    base, names, rows = _offsets(named)
-    short = stored(named.where("kind = 1").groupBy("block").applyInArrow(_name_strings(base), STRING))
-    sampled = short if names == rows else ranks(short, p)
+    base, rows, once = _offsets(named)
+    short = stored(named.where("kind = 1").groupBy("block").applyInArrow(_name_strings(base), "block bigint, n bigint, a binary, b binary"))
     zero = F.lit(0).alias("kind")
     none = F.lit(None).cast("binary")
     own = strings.select("block", zero, "a", *(("b", "e") if prefix else (none.alias("b"), none.alias("e"))))
-    both = own.union(sampled.select("block", F.lit(1).alias("kind"), "a", none, none))
+    both = own.union(short.select("block", F.lit(2).alias("kind"), none, "b", none))
+    if once < rows:
+        both = both.union(ranks(short, p).select("block", F.lit(1).alias("kind"), "a", none, none))
     return both.groupBy("block").applyInArrow(_send_suffixes(splits[:2], prefix), SENT)
 
 
