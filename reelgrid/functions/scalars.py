@@ -129,7 +129,7 @@ def cache_key(path: Column, size: Column, mtime: Column) -> Column:
 
 def quoted_list(text: Column) -> Column:
     """Items of a list of double-quoted strings, with escaped quotes undone."""
-    items = F.regexp_extract_all(text, F.lit('"((?:[^"\\\\\\\\]|\\\\\\\\.)*)"'), F.lit(1))
+    items = F.regexp_extract_all(text, F.lit('"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1))
     return F.transform(items, lambda x: F.replace(x, F.lit('\\"'), F.lit('"')))
 
 

@@ -105,7 +105,7 @@ def greedy_pairs(pairs: DataFrame, lid: str, rid: str, distance: str) -> DataFra
         b = F.row_number().over(Window.partitionBy(rid).orderBy(*order))
         took = checkpointed(left.select("*", a.alias("_a"), b.alias("_b")).where("_a = 1 and _b = 1").drop("_a", "_b"))
         out = took if out is None else out.union(took)
-        left = checkpointed(left.join(took.select(lid), lid, "left_anti").join(took.select(rid), rid, "left_anti"))
+        left = checkpointed(left.join(took.select(lid), lid, "left_anti").join(took.select(rid), rid, "left_anti").select(lid, rid, distance))
     return left if out is None else out
 
 
