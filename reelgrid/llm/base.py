@@ -22,11 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return str(found)
 
 
+#: Folders written by ``stored`` in this process.
+STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again; the files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     atexit.register(drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
@@ -258,11 +258,12 @@ def duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 def drop_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The documents without near duplicates, with all their columns; one row a doc_id."""
     flat = positional(docs)
-    key, text = F.col(f"_{place(docs, 'doc_id')}"), F.col(f"_{place(docs, 'text')}")
-    gone = duplicates(docs, params).select(F.col("doc_id").alias("gone"))
-    kept = flat.join(gone, key.cast("bigint") == F.col("gone"), "left_anti")
-    again = pick(docs, id="doc_id").where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("again"))
-    once = kept.join(again, key == F.col("again"), "left_anti")
-    twice = kept.join(again, key == F.col("again"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(text.asc_nulls_last(), *[F.col(c).cast("string") for c in flat.columns]))
-    return once.union(twice.withColumn("rank", rank).where("rank = 1").drop("rank")).toDF(*docs.columns)
+    key = F.col(f"_{place(docs, 'doc_id')}")
+    gone = duplicates(docs, params).select(F.col("doc_id").alias("mark"), F.lit(True).alias("gone"))
+    again = pick(docs, mark="doc_id:bigint").where("mark is not null").groupBy("mark").count().where("count > 1")
+    marks = gone.join(again.hint("merge"), "mark", "full").select("mark", F.coalesce("gone", F.lit(False)).alias("gone"))
+    kept = flat.join(marks.hint("merge"), key.cast("bigint") == F.col("mark"), "left").where("gone is null or not gone")
+    order = [f"_{place(docs, 'text')}", *flat.columns]
+    first = F.min_by(F.struct(*flat.columns), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\U0010ffff")) for c in order])).alias("row")
+    once = kept.where("gone is null").select(*flat.columns)
+    return once.union(kept.where("not gone").groupBy(key.cast("bigint")).agg(first).select("row.*")).toDF(*docs.columns)
