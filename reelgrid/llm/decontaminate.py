@@ -200,7 +200,8 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterato
 
 def _searcher(shared, text: int, limit: int, keep_clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items = shared.value
+        ids, *arrays = shared.value
+        items = Items(*arrays)
         for rows, h, offs in _shards(batches, text, limit):
             doc, item, length, dpos, ipos = shard_matches(h, offs, items)
             if keep_clean:
@@ -214,7 +215,11 @@ def _searcher(shared, text: int, limit: int, keep_clean: bool):
     return run
 
 
-def _pieces(benchmark: DataFrame, p: Params) -> Iterator[tuple[list, Items]]:
+def _plain(ids: list, items: Items) -> tuple:
+    return (ids, items.hash, items.offs, items.item, items.start, items.need)
+
+
+def _pieces(benchmark: DataFrame, p: Params) -> Iterator[tuple]:
     """The benchmark in pieces of at most ``piece_tokens`` tokens (a longer item is one piece)."""
     ids: list = []
     texts: list = []
@@ -222,13 +227,13 @@ def _pieces(benchmark: DataFrame, p: Params) -> Iterator[tuple[list, Items]]:
     for r in pick(benchmark, item_id="item_id:bigint", text="text").where("length(text) > 0").toLocalIterator(prefetchPartitions=False):
         n = len(tk.plain_tokens(r.text))
         if ids and size + n > p.piece_tokens:
-            yield ids, Items.of(texts, p.min_match)
+            yield _plain(ids, Items.of(texts, p.min_match))
             ids, texts, size = [], [], 0
         ids.append(r.item_id)
         texts.append(r.text)
         size += n
     if ids:
-        yield ids, Items.of(texts, p.min_match)
+        yield _plain(ids, Items.of(texts, p.min_match))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:

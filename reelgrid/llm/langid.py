@@ -147,10 +147,10 @@ def decide(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, predicted, share, ngrams) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, params = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.rate)), model.params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value, params)
         names = pa.array(m.langs, pa.string())
         for batch in batches:
             for b in tk.slices(batch, 1):
