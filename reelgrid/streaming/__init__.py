@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Streaming forms of batch operators; the batch operators are the reference, these are extensions."""
