@@ -202,3 +202,63 @@ def masked(rows: DataFrame, key: list[str], lhs: str, rhs: str, rule) -> DataFra
 
     return rows.groupBy(*key).applyInPandas(run, rows.schema)
 
+
+
+def relation(l: np.ndarray, r: np.ndarray, rate_ratio: float = 1.0, *, sigma: float = 1.0, span: float = 250.0, outliers: float = 0.25, slope_off: float = 0.05, res_median: float = 1.5, res_p95: float = 4.0, scale: float = 0.30) -> tuple[str, float, float]:
+    """How frame numbers on two time-lines relate: ('constant' | 'linear' | 'none', slope, intercept).
+
+    Constant: r - l deviates by at most ``sigma``; two pairs also need ``span``
+    frames between them.  Else a seeded robust line through at least four
+    pairs over ``span`` frames, with few outliers, small residuals, and a
+    slope near 1 or near the rate ratio.  A time scale further than
+    ``scale`` from 1 is none.
+    """
+    n = len(l)
+    if n < 2:
+        return "none", float("nan"), float("nan")
+    wide = float(l.max() - l.min())
+    off = r - l
+    if off.std() <= sigma and (n > 2 or wide >= span):
+        return "constant", 1.0, float(np.round(np.median(off)))
+    if n < 4 or wide < span:
+        return "none", float("nan"), float("nan")
+    inside = ransac_inliers(l, r, res_p95)
+    if 1 - inside.mean() > outliers:
+        return "none", float("nan"), float("nan")
+    k, b = np.polyfit(l[inside], r[inside], 1)
+    res = np.abs(r[inside] - (k * l[inside] + b))
+    near = min(abs(k - 1), abs(k - rate_ratio)) <= slope_off
+    if not near or np.median(res) > res_median or np.percentile(res, 95) > res_p95 or abs(k / rate_ratio - 1) > scale:
+        return "none", float("nan"), float("nan")
+    return "linear", float(k), float(b)
+
+
+def extrapolate(known_l: np.ndarray, known_r: np.ndarray, pool_l: np.ndarray, pool_r: np.ndarray, dist, cutoff: float, tolerance: float = 0.05) -> list[tuple[float, float]]:
+    """Known pairs with those that their median ratio predicts, in order of the left side.
+
+    For a free left place the three right places nearest to the prediction
+    are tried; the first that is unused, whose ratio to the nearest known
+    pair lies within the tolerance and whose distance is under the cutoff joins.
+    """
+    pairs = sorted(zip(known_l.tolist(), known_r.tolist(), strict=True))
+    if len(pairs) < 2:
+        return pairs
+    dl, dr = np.diff([a for a, _ in pairs]), np.diff([b for _, b in pairs])
+    ok = dr != 0
+    if not ok.any():
+        return pairs
+    ratio = float(np.median(dl[ok] / dr[ok]))
+    used = {b for _, b in pairs}
+    taken = {a for a, _ in pairs}
+    base = list(pairs)
+    for a in sorted(set(pool_l.tolist()) - taken):
+        x, y = min(base, key=lambda p: (abs(p[0] - a), p[0]))
+        want = y + (a - x) / ratio
+        for b in sorted(pool_r.tolist(), key=lambda v: (abs(v - want), v))[:3]:
+            if b in used or b == y:
+                continue
+            if abs((a - x) / (b - y) - ratio) < tolerance * ratio and dist(a, b) < cutoff:
+                pairs.append((a, b))
+                used.add(b)
+                break
+    return sorted(pairs)

@@ -182,10 +182,38 @@ def short_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy("user_id").applyInPandas(run, "user_id bigint, first_id bigint, n bigint")
 
 
+def global_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relation of each user's event numbers to hours of 11.5 frames."""
+    ev = _events(spark, sf_dir).select("user_id", "event_id", (F.col("ms") / 1000 / 258).alias("x"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event_id")
+        x = pdf.x.to_numpy() - pdf.x.min()
+        kind, slope, _ = tl.relation(x, pdf.event_id.to_numpy(float), sigma=10.0, res_median=60.0, res_p95=250.0)
+        return pd.DataFrame({"user_id": pdf.user_id.iloc[:1], "relation": [kind], "slope": [None if np.isnan(slope) else round(slope, 3)]})
+
+    return ev.groupBy("user_id").applyInPandas(run, "user_id bigint, relation string, slope double")
+
+
+def extrapolated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks paired with views: the known pairs are every third click with the next view, the others are predicted."""
+    ev = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.sort(pdf.event_id[pdf.event_type == "click"].to_numpy(float))
+        b = np.sort(pdf.event_id[pdf.event_type == "view"].to_numpy(float))
+        at = np.searchsorted(b, a[::3])
+        ok = at < len(b)
+        got = tl.extrapolate(a[::3][ok], b[at[ok]], a, b, lambda x, y: abs(x - y), 400.0)
+        return pd.DataFrame({"user_id": np.int64(pdf.user_id.iloc[0]), "click_id": np.array([int(x) for x, _ in got], dtype=np.int64), "view_id": np.array([int(y) for _, y in got], dtype=np.int64)})
+
+    return ev.groupBy("user_id").applyInPandas(run, "user_id bigint, click_id bigint, view_id bigint")
+
+
 _ALL = (
     gap_deficits, ratio_median, mad_filter, adaptive_cutoff, pair_statistics, segment_statistics, event_islands, island_complement, integer_ranges, clipped_windows,
     even_segments, edge_coverage, constant_offset, grid_shift, linear_relation, linear_mapping, dark_zones, history_check, edge_snap, interpolated,
-    rogue_removal, strict_mapping, ransac_inliers, boundary_walk, short_segments,
+    rogue_removal, strict_mapping, ransac_inliers, boundary_walk, short_segments, global_relation, extrapolated_pairs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -212,3 +212,24 @@ def test_provider_ids_and_cache(spark):
 def test_mad_keeps_small_groups(spark):
     rows = spark.createDataFrame(pd.DataFrame({"k": [1] * 3 + [2] * 5, "v": [1.0, 2.0, 900.0, 1.0, 2.0, 2.0, 3.0, 99.0]}))
     assert sorted(r.v for r in tl.mad_filter(rows, ["k"], "v").collect()) == [1.0, 1.0, 2.0, 2.0, 2.0, 3.0, 900.0]
+
+
+def test_relations_of_time_lines():
+    x = np.arange(0.0, 2000, 40)
+    assert tl.relation(x, x + 12) == ("constant", 1.0, 12.0)
+    kind, k, b = tl.relation(x, x * 1.04 + 5)
+    assert kind == "linear" and k == pytest.approx(1.04) and b == pytest.approx(5)
+    bad = x * 1.04
+    bad[::3] += 700
+    assert tl.relation(x, bad)[0] == "none"  # too many outliers
+    assert tl.relation(x, x * 1.5)[0] == "none"  # too far from 1
+    assert tl.relation(x, x * 25 / 24, 25 / 24)[0] == "linear"
+    assert tl.relation(x[:2], x[:2])[0] == "none" and tl.relation(x[[0, 20]], x[[0, 20]])[0] == "constant"
+
+
+def test_extrapolated_pairs():
+    known = np.array([0.0, 100, 200])
+    pool = np.array([50.0, 150, 250])
+    got = tl.extrapolate(known, known + 7, pool, np.array([57.0, 158, 400]), lambda a, b: 0, 1)
+    assert got == [(0, 7), (50, 57), (100, 107), (150, 158), (200, 207)]
+    assert tl.extrapolate(known, known + 7, pool, pool + 7, lambda a, b: 99, 16) == [(0, 7), (100, 107), (200, 207)]
