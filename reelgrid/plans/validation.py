@@ -31,7 +31,7 @@ def output_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def primary_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "part")
-    return va.primary(parts, ["p_brand", "p_type"], ["p_size", "p_partkey"], F.col("p_retailprice") > 920).select("p_brand", "p_type", "p_partkey")
+    return va.primary(parts, ["p_brand", "p_type"], ["p_size", "p_partkey"], F.col("p_retailprice") > 905).select("p_brand", "p_type", "p_partkey")
 
 
 def same_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ ORACLES = {
         SELECT l_orderkey, CASE WHEN max(l_linenumber) = 7 THEN 'track' WHEN bool_or(l_linenumber IN (4, 5) AND l_returnflag = 'A') THEN 'attachment'
             WHEN count(*) FILTER (l_linenumber IN (4, 5) AND l_returnflag <> 'A') > 1 THEN 'thumbnails' END AS issue FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1""",
     "output_aliases": "SELECT o_orderkey AS key FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09::DOUBLE)",
-    "primary_record": "SELECT p_brand, p_type, p_partkey FROM part WHERE p_retailprice > 920 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) = 1",
+    "primary_record": "SELECT p_brand, p_type, p_partkey FROM part WHERE p_retailprice > 905 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) = 1",
     "same_series": """
         WITH n AS (SELECT p_brand, p_type, p_partkey % 2 AS m, p_size, row_number() OVER (PARTITION BY p_brand, p_type, p_partkey % 2 ORDER BY p_partkey) AS i FROM part),
             j AS (SELECT p_brand, p_type, i, max(p_size) FILTER (m = 0) AS a, max(p_size) FILTER (m = 1) AS b FROM n GROUP BY ALL)
