@@ -65,8 +65,13 @@ class Params:
 
     @property
     def least(self) -> int:
-        """Tokens that a passage's certain phrases span: all but the cuts that may differ at its borders."""
-        return self.passage - 4 * self.window + 2
+        """Tokens that a passage's certain phrases span.
+
+        The first cut that a window inside the passage makes lies within
+        ``window`` tokens of its start, the last within ``window`` + 1 of
+        its end; between them all cuts depend on the passage alone.
+        """
+        return self.passage - 2 * self.window
 
 
 SENT = "bucket bigint, block bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, i binary"
