@@ -12,7 +12,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's folder; where none is set (tests), a local one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reelgrid-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelgrid-"))
     return df.checkpoint()
 
 
