@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; where unset (tests), a local one is set."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if found is None:
         found = tempfile.mkdtemp(prefix="reelgrid-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
