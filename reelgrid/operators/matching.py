@@ -41,14 +41,22 @@ def zipped(left: DataFrame, right: DataFrame, by: list[str], order_l: list, orde
     return numbered(left, by, *order_l).join(numbered(right, by, *order_r), [*by, "pos"])
 
 
-def two_stage(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str, by: Column | None = None) -> DataFrame:
+def ordinals(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """Running number over the whole table by a key without ties: ranges are numbered apart, then shifted by their offsets."""
+    part = checkpointed(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
+    size = part.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return part.withColumn("_i", inside).join(size.select("_p", before.alias("_o")), "_p").withColumn(name, F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
+
+
+def two_stage(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str) -> DataFrame:
     """One-to-one match: by key where it is unique on both sides, the rest in order; (lid, rid, stage)."""
     ul = left.groupBy(key).agg(F.count("*").alias("n"), F.min(lid).alias(lid)).where("n = 1").drop("n")
     ur = right.groupBy(key).agg(F.count("*").alias("n"), F.min(rid).alias(rid)).where("n = 1").drop("n")
     first = ul.join(ur, key).select(lid, rid, F.lit("key").alias("stage"))
-    one = Window.orderBy(lid)
-    rest_l = left.select(lid).join(first.select(lid), lid, "left_anti").withColumn("pos", F.row_number().over(one))
-    rest_r = right.select(rid).join(first.select(rid), rid, "left_anti").withColumn("pos", F.row_number().over(Window.orderBy(rid)))
+    rest_l = ordinals(left.select(lid).join(first.select(lid), lid, "left_anti"), lid)
+    rest_r = ordinals(right.select(rid).join(first.select(rid), rid, "left_anti"), rid)
     return first.unionByName(rest_l.join(rest_r, "pos").select(lid, rid, F.lit("order").alias("stage")))
 
 

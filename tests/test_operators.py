@@ -233,3 +233,9 @@ def test_extrapolated_pairs():
     got = tl.extrapolate(known, known + 7, pool, np.array([57.0, 158, 400]), lambda a, b: 0, 1)
     assert got == [(0, 7), (50, 57), (100, 107), (150, 158), (200, 207)]
     assert tl.extrapolate(known, known + 7, pool, pool + 7, lambda a, b: 99, 16) == [(0, 7), (100, 107), (200, 207)]
+
+
+def test_ordinals_run_over_the_whole_table(spark):
+    d = spark.range(0, 3000, 3).repartition(7).toDF("k")
+    assert all(r.pos == r.k // 3 + 1 for r in mt.ordinals(d, "k").collect())
+    assert mt.ordinals(d.limit(0), "k").count() == 0
