@@ -42,16 +42,18 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], same: D
 
     buckets: (bucket, ids, weight), ids sorted and distinct; verify: keeps
     the true ones of pairs (a, b, met), met being the weight of the buckets
-    that they share; same: pairs known to be true.  First each id is paired
-    with one id: of the first ids of its buckets, the one it meets most
-    often; then, across the components so found, all pairs of a bucket are
-    tried.  A pair within one component can't change the groups, so the
-    result is that of all pairs.
+    that they share, or NULL where it isn't counted; same: pairs known to be
+    true.  First each id is paired with one id: of the first ids of its
+    buckets, the one it meets most often; then, across the components so
+    found, all pairs of a bucket are tried.  What the first pairs meet counts
+    only the buckets that one of them leads, so it chooses but can't prune.
+    A pair within one component can't change the groups, so the result is
+    that of all pairs.
     """
     firsts = buckets.select("weight", F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"))
     firsts = firsts.groupBy("a", "b").agg(F.sum("weight").alias("met"))
     best = firsts.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("a"))).alias("x"))
-    leads = cut(best.select((-F.col("x.a")).alias("a"), "b", F.col("x.met").alias("met")))
+    leads = cut(best.select((-F.col("x.a")).alias("a"), "b", F.lit(None).cast("bigint").alias("met")))
     links = verify(leads).select("a", "b")
     member = buckets.select("bucket", "weight", F.explode("ids").alias("id")).join(components(links).hint("merge"), "id", "left")
     part = member.groupBy("bucket", "weight", F.coalesce("root", "id").alias("root")).agg(F.collect_list("id").alias("ids"))

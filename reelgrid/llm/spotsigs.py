@@ -196,12 +196,12 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     tau = p.threshold
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Length pruning; then overlap pruning: what two sets share is at most the shared prefix signatures (``met``) and one set's remainder."""
+        """Length pruning; then, where ``met`` is counted, overlap pruning: what two sets share is at most the shared prefix signatures (``met``) and one set's remainder."""
         for c in "ab":
             pairs = pairs.join(known.select(F.col("id").alias(c), length.alias(f"n{c}")).hint("merge"), c)
         near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(tau) - 1e-6
         enough = F.col("met") >= (F.col("na") + F.col("nb")) * F.lit(tau / (1 + tau)) - F.ceil(F.greatest("na", "nb") * F.lit(tau) - 1e-9) + 1 - 1e-6
-        pairs = pairs.where(near & enough).select("a", "b")
+        pairs = pairs.where(near & (F.col("met").isNull() | enough)).select("a", "b")
         for c in "ab":
             pairs = pairs.join(known.select(F.col("id").alias(c), F.col("sigs").alias(f"s{c}")).hint("merge"), c)
         return stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_comparer(p), "a bigint, b bigint"))

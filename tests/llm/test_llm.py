@@ -419,6 +419,26 @@ def test_spotsigs_equal_brute_force(spark):
     assert spotsigs.unpack(spotsigs.pack(sig)).tolist() == sig.tolist()
 
 
+def test_spotsigs_keep_leader_pairs_whose_buckets_others_lead(spark):
+    """Two sets of 20 share 16; seven of their ten rarest signatures are also rare ones of documents with smaller ids."""
+    text = lambda names: " ".join(f"the {x}x {x}y" for x in names)
+    shared, rest = [f"s{i}" for i in range(10)], [f"r{i}" for i in range(6)]
+    own = [[f"o{k}n{i}" for i in range(4)] for k in range(2)]
+    filler = [[f"f{k}n{i}" for i in range(9)] for k in range(7)]
+    rows = [(k, text([shared[k], *filler[k]])) for k in range(7)]
+    rows += [(10 + k, text([*shared, *rest, *own[k]])) for k in range(2)]
+    usual = [*rest, *own[0], *own[1], *[x for f in filler for x in f]]
+    rows += [(20 + k, text([*usual, *[f"u{k}n{i}" for i in range(100)]])) for k in range(5)]
+    p = spotsigs.Params()
+    sig, doc = spotsigs.signatures(pa.array([t for _, t in rows]), p)
+    sets = defaultdict(set)
+    for s, d in zip(sig.tolist(), doc.tolist(), strict=True):
+        sets[rows[d][0]].add(s)
+    assert len(sets[10]) == len(sets[11]) == 20 and len(sets[10] & sets[11]) == 16
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert {r.doc_id: r.group_id for r in spotsigs.groups(d).collect()} == brute_groups(sets, p.threshold) == {10: 10, 11: 10}
+
+
 # 8: URL rules
 
 
