@@ -37,6 +37,21 @@ def test_query_equals_sql(spark, duck, name):
     assert got or name in ("hash_within",)
 
 
+def rows_by(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_two_stage_match_takes_every_customer(spark, duck):
+    sup, cust = (duck.execute(q).fetchall() for q in ("SELECT s_suppkey, s_nationkey FROM supplier ORDER BY 1", "SELECT c_custkey, c_nationkey FROM customer ORDER BY 1"))
+    lone = lambda side: {k: v[0] for k in {k for _, k in side} if len(v := [i for i, x in side if x == k]) == 1}
+    a, b = lone(sup), lone(cust)
+    want = [(a[k], b[k], "key") for k in a.keys() & b.keys()]
+    left, right = ([i for i, _ in side if i not in {w[at] for w in want}] for at, side in enumerate((sup, cust)))
+    want += [(x, y, "order") for x, y in zip(left, right, strict=False)]
+    assert rows_by(registry.QUERIES["two_stage_match"](spark, SF), "s_suppkey", "c_custkey", "stage") == sorted(want)
+
+
 def test_registry_is_consistent():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
