@@ -39,9 +39,9 @@ def subtitle_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events").where("event_id < 1000")
-    clock = F.substring(sc.ms_to_time(F.col("event_id") * 1000), 1, 8)
-    text = ev.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(clock, F.lit(":"), F.col("event_type")))), "\n").alias("text"))
+    clock = F.split_part(sc.ms_to_time(F.col("event_id") * 1000), F.lit(","), F.lit(1))
+    line = F.struct("event_id", F.concat(clock, F.lit(":"), F.col("event_type")).alias("t"))
+    text = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("text"))
     return text.select("user_id", F.explode(files.timed_lines(F.col("text"))).alias("e")).select("user_id", "e.*")
 
 

@@ -52,6 +52,20 @@ def test_two_stage_match_takes_every_customer(spark, duck):
     assert rows_by(registry.QUERIES["two_stage_match"](spark, SF), "s_suppkey", "c_custkey", "stage") == sorted(want)
 
 
+@pytest.fixture
+def late_events(spark, tmp_path):
+    """Twelve events a user, some beyond 100 hours."""
+    ids = [*range(8), 999, 1000, 359_999, 360_000]
+    rows = [(i * 2 + u, u, f"type{i % 3}") for u in (0, 1) for i in ids]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path), rows
+
+
+def test_timed_text_parses_every_event(spark, late_events):
+    sf_dir, rows = late_events
+    assert rows_by(registry.QUERIES["timed_text"](spark, sf_dir), "user_id", "start_ms", "text") == sorted((u, i * 1000, t) for i, u, t in rows)
+
+
 def test_registry_is_consistent():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
