@@ -29,10 +29,10 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subtitle_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtitle texts made of each user's first events, parsed back."""
+    """Subtitle texts made of each user's events, parsed back."""
     from pyspark.sql import Window
 
-    ev = load(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("i <= 5")
+    ev = load(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     line = F.concat(F.col("i").cast("string"), F.lit("\n"), sc.ms_to_time(F.col("event_id") * 1000), F.lit(" --> "), sc.ms_to_time(F.col("event_id") * 1000 + 500), F.lit("\n"), F.col("event_type"))
     text = ev.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
     return text.select("user_id", F.explode(files.srt_events(F.col("text"))).alias("e")).select("user_id", "e.*")

@@ -66,6 +66,11 @@ def test_timed_text_parses_every_event(spark, late_events):
     assert rows_by(registry.QUERIES["timed_text"](spark, sf_dir), "user_id", "start_ms", "text") == sorted((u, i * 1000, t) for i, u, t in rows)
 
 
+def test_subtitle_parse_parses_every_event(spark, late_events):
+    sf_dir, rows = late_events
+    assert rows_by(registry.QUERIES["subtitle_parse"](spark, sf_dir), "user_id", "start_ms", "end_ms", "text") == sorted((u, i * 1000, i * 1000 + 500, t) for i, u, t in rows)
+
+
 def test_registry_is_consistent():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
