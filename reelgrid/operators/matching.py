@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,40 @@ def distance_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, lh: st
     return both.select(lid, rid, d.alias("distance")).where(F.col("distance") <= most).distinct()
 
 
+def _nearest_of_block(key: tuple, rows: pa.Table) -> pa.Table:
+    """Least distance from each row of side 0 to the rows of side 1, ties to the least id; strips bound the memory."""
+    side, ids, h = (rows.column(c).to_numpy() for c in ("side", "id", "h"))
+    left, right = (np.flatnonzero(side == k) for k in (0, 1))
+    right = right[np.argsort(ids[right], kind="stable")]
+    out = []
+    for at in range(0, len(left) if len(right) else 0, 64):
+        x = left[at : at + 64]
+        d = np.bitwise_count((h[x][:, None] ^ h[right][None, :]).view(np.uint64))
+        d[ids[x][:, None] == ids[right][None, :]] = 255
+        best = d.argmin(axis=1)
+        out.append((ids[x], d[np.arange(len(x)), best].astype(np.int32), ids[right][best]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=t) for t in (np.int64, np.int32, np.int64)]
+    keep = cols[1] < 255
+    return pa.table([pa.array(c[keep]) for c in cols], names=["id", "distance", "other"])
+
+
+def nearest_other(rows: DataFrame, rid: str, h: str, block: int = 8192) -> DataFrame:
+    """(rid, distance, other): each row with the nearest other row by Hamming distance, ties to the least id.
+
+    Every pair is compared, in products of blocks of some ``block`` rows, so
+    no task holds a whole side and no pair becomes a row.  Rows without a
+    hash have no neighbour.
+    """
+    x = rows.select(F.col(rid).cast("bigint").alias("id"), F.col(h).alias("h")).where("id is not null and h is not null")
+    n = -(-x.count() // block) or 1
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = x.select(F.lit(0).alias("side"), "id", "h", own.alias("i"), every.alias("j"))
+    right = x.select(F.lit(1).alias("side"), "id", "h", every.alias("i"), own.alias("j"))
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(_nearest_of_block, "id bigint, distance int, other bigint")
+    return found.groupBy(F.col("id").alias(rid)).agg(F.min(F.struct("distance", "other")).alias("x")).select(rid, "x.distance", "x.other")
+
+
 def greedy_pairs(pairs: DataFrame, lid: str, rid: str, distance: str) -> DataFrame:
     """Greedy one-to-one assignment in order of (distance, lid, rid).
 

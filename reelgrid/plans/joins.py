@@ -81,12 +81,9 @@ def metadata_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest other vector with the next label by sign hash."""
-    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", *[h.alias("h") for h in mt.sign_hash(F.col("embedding"))])
-    a = v.where("label = 0").select("vec_id", "h")
-    b = v.where("label = 1").select(F.col("vec_id").alias("other"), F.col("h").alias("g"))
-    d = mt.distance_pairs(a, b, "vec_id", "other", "h", "g")
-    return d.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("x")).select("vec_id", "x.distance", "x.other")
+    """Nearest other vector of each vector by sign hash."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", *[h.alias("h") for h in mt.sign_hash(F.col("embedding"))])
+    return mt.nearest_other(v, "vec_id", "h")
 
 
 def hash_within(spark: SparkSession, sf_dir: str) -> DataFrame:

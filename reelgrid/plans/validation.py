@@ -63,12 +63,13 @@ def scene_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best match of each vector's place, in its label, among the places of the next label."""
     v = load(spark, sf_dir, "embeddings").select("label", "vec_id", *[h.alias("h") for h in mt.sign_hash(F.col("embedding"))])
     v = v.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    left = v.where("label = 0").select(F.lit(0).alias("k"), F.col("at").alias("l_at"), F.col("h").alias("lh"))
-    right = v.where("label = 1").select(F.lit(0).alias("k"), F.col("at").alias("r_at"), F.col("h").alias("rh"))
-    guess = left.select("k", "l_at", F.col("l_at").alias("r_at"))
-    return va.best_neighbour(left, right, guess, ["k"], "l_at", "r_at", "lh", "rh").select("l_at", "distance", "l", "r")
+    left = v.select("label", F.col("at").alias("l_at"), F.col("h").alias("lh"))
+    right = v.select((F.col("label") - 1).alias("label"), F.col("at").alias("r_at"), F.col("h").alias("rh"))
+    guess = left.select("label", "l_at", F.col("l_at").alias("r_at"))
+    return va.best_neighbour(left, right, guess, ["label"], "l_at", "r_at", "lh", "rh").select("label", "l_at", "distance", "l", "r")
 
 
 _ALL = (subtitle_kinds, supported_elements, output_aliases, primary_record, same_series, preferred_record, poor_stretch, output_end, scene_windows, best_neighbour)

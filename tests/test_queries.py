@@ -71,6 +71,42 @@ def test_subtitle_parse_parses_every_event(spark, late_events):
     assert rows_by(registry.QUERIES["subtitle_parse"](spark, sf_dir), "user_id", "start_ms", "end_ms", "text") == sorted((u, i * 1000, i * 1000 + 500, t) for i, u, t in rows)
 
 
+def hashes(duck):
+    """(vec_id, label, sign bits) by vec_id."""
+    return [(i, k, sum(int(x > 0) << j for j, x in enumerate(e))) for i, k, e in duck.execute("SELECT vec_id, label, embedding FROM embeddings ORDER BY 1").fetchall()]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("block", [None, 30])
+def test_hash_nearest_asks_for_every_vector(spark, duck, block):
+    v = hashes(duck)
+    want = [(i, *min(((h ^ g).bit_count(), o) for o, _, g in v if o != i)) for i, _, h in v]
+    if block is None:
+        got = registry.QUERIES["hash_nearest"](spark, SF)
+    else:
+        from reelgrid.operators import matching as mt
+
+        rows = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, _, h in v] + [(-1, None)], "vec_id bigint, h bigint")
+        got = mt.nearest_other(rows, "vec_id", "h", block)
+    assert rows_by(got, "vec_id", "distance", "other") == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_best_neighbour_takes_every_pair_of_labels(spark, duck):
+    at = {}
+    for _, k, h in hashes(duck):
+        at.setdefault(k, []).append(h)
+    want = []
+    for k, left in at.items():
+        right = at.get(k + 1, [])
+        for p in range(len(left)):
+            near = lambda side: range(max(p - 1, 0), min(p + 2, len(side)))  # noqa: B023, E731
+            tried = [((left[x] ^ right[y]).bit_count(), x + 1, y + 1) for x in near(left) for y in near(right)]
+            want += [(k, p + 1, *min(tried))] if tried else []
+    assert len({w[0] for w in want}) > 1
+    assert rows_by(registry.QUERIES["best_neighbour"](spark, SF), "label", "l_at", "distance", "l", "r") == sorted(want)
+
+
 def test_registry_is_consistent():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
