@@ -6,20 +6,20 @@ counts every n-gram by language over all labelled texts; a language keeps
 the n-grams that make up at least ``share`` of its own, and whose share is
 at least ``margin`` of the n-gram's largest share in any language.
 
-The filter is bit-sliced: ``2**bits`` slots of one bit a language.  An
+The filter is bit-sliced: ``2**bits`` slots of one bit a language, in
+words of 64 languages, so its size grows with the languages alone.  An
 n-gram sets its languages' bits in ``hashes`` slots; reading ANDs the
 slots, so one lookup returns every language that has the n-gram.  A text's
 lookups are counted by language, each count is corrected for the language's
 false positives, and the largest decides; ties go to the first language by
-name.  The filter's size is a parameter, so broadcasting it doesn't grow
-with the corpus; only (language, n-gram) pairs above ``share`` are gathered,
+name.  Broadcasting the filter doesn't grow with the rows of the corpus;
+only (language, n-gram) pairs above ``share`` are gathered,
 of which there are at most 1 / share a language.
 
 Defined cases: NULL and empty texts, texts of fewer than four bytes and
 texts no n-gram of which is known get NULL as language and 0 as share;
-rows with NULL language aren't trained on; up to 64 languages, the most
-frequent by n-grams; repeated rows count and are labelled each for itself;
-an empty table trains an empty filter.
+rows with NULL language aren't trained on; repeated rows count and are
+labelled each for itself; an empty table trains an empty filter.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from reelgrid.llm.base import pick
 
 _U = np.uint64
 _BLANK = 32
+_WORD = 64
 
 
 @dataclass(frozen=True)
@@ -109,17 +110,17 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     top = F.max("share").over(Window.partitionBy("gram"))
     kept = shares.where(F.col("share") >= p.share).withColumn("top", top).where(F.col("share") >= p.margin * F.col("top"))
     by: dict[str, list[int]] = {}
-    size: dict[str, int] = {}
-    for r in kept.select("lang", "gram", "all").toLocalIterator():
+    for r in kept.select("lang", "gram").toLocalIterator():
         by.setdefault(r.lang, []).append(r.gram)
-        size[r.lang] = r.all
-    langs = sorted(sorted(by, key=lambda k: (-size[k], k))[:64])
-    kind = next(t for w, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(langs) <= w)
-    table = np.zeros(1 << p.bits, dtype=kind)
+    langs = sorted(by)
+    kind = next(t for w, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (np.inf, np.uint64)) if len(langs) <= w)
+    table = np.zeros((-(-len(langs) // _WORD), 1 << p.bits), dtype=kind)
+    fill = np.zeros(len(langs))
     for i, lang in enumerate(langs):
+        word, bit = divmod(i, _WORD)
         for s in slots(np.array(by[lang], dtype=np.uint32), p):
-            table[s] |= kind(1 << i)
-    fill = np.array([((table >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
+            table[word, s] |= kind(1 << bit)
+        fill[i] = ((table[word] >> kind(bit)) & kind(1)).mean()
     return Model(langs, table, fill**p.hashes, p)
 
 
@@ -130,14 +131,16 @@ def decide(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if not len(g) or not m.langs:
         return np.full(len(col), -1), np.zeros(len(col)), n
     at = slots(g, m.params)
-    mask = m.table[at[0]]
-    for s in at[1:]:
-        mask &= m.table[s]
     ends = np.cumsum(n)
-    sums = np.zeros(len(mask) + 1, dtype=np.int64)
+    sums = np.zeros(len(g) + 1, dtype=np.int64)
     found = np.zeros((len(m.langs), len(col)))
     for i in range(len(m.langs)):
-        np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), out=sums[1:])
+        word, bit = divmod(i, _WORD)
+        if not bit:
+            mask = m.table[word][at[0]]
+            for s in at[1:]:
+                mask &= m.table[word][s]
+        np.cumsum((mask >> mask.dtype.type(bit)) & mask.dtype.type(1), out=sums[1:])
         hits = sums[ends] - sums[ends - n]
         found[i] = np.maximum(hits - n * m.rate[i], 0) / (1 - m.rate[i])
     best = found.argmax(axis=0)

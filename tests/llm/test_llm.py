@@ -496,6 +496,17 @@ def test_language_on_held_out_rows(spark, clash, empty):
     assert none.langs == [] and all(r.predicted is None for r in langid.identify(d, none).collect())
 
 
+def test_every_labelled_language_is_known(spark):
+    rows = []
+    for k in range(130):
+        own = f"{chr(97 + k // 12)}{chr(97 + k % 12)}"
+        rows.append((k, " ".join(f"x{own}z{v}" for v in "aeiou"), f"l{k:03d}", "s", 0))
+    d = spark.createDataFrame(rows, DOCS)
+    m = langid.train(d)
+    assert m.langs == [r[2] for r in rows]
+    assert {r.doc_id: r.predicted for r in langid.identify(d, m).collect()} == {r[0]: r[2] for r in rows}
+
+
 def test_grams_are_those_of_each_text():
     g, doc = langid.grams(pa.array(["ab  cd", None, "x", "É-b!c"]))
     want = [(d, x.encode()[i : i + 4]) for d, x in enumerate(["ab cd", "", "x", "é b c"]) for i in range(len(x.encode()) - 3)]
