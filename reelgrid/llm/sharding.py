@@ -7,9 +7,12 @@ shards is found by binary search, then the groups are cut by that walk.
 The largest shard is then as small as it can be.
 
 Group sizes are packed in order into blocks of ``block`` groups in the
-shared folder.  Up to ``held`` groups are kept in the driver's memory
-during the search; beyond that each step of the search reads the blocks
-again one partition at a time, with the same result.
+shared folder; the driver holds only each block's totals.  A walk makes at
+most ``shards`` cuts, and each is found by searching the blocks' running
+totals and then the sizes of the one block where the capacity is passed.
+For any capacity c the i-th cut lies between i (c - largest) and i c tokens,
+so the blocks that the whole search can touch are known beforehand and come
+in one read; at most ``cached`` of them are kept, others are read when needed.
 
 Defined cases: rows with NULL doc_id are one group, the first; NULL and
 empty texts weigh 0; with fewer groups than shards the last shards stay
@@ -18,7 +21,8 @@ empty; an empty table has no shards.  A column named ``shard`` is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,37 +38,65 @@ from reelgrid.llm.mixing import tokens_of
 class Params:
     shards: int = 32
     block: int = 16_384
-    #: Bound on the groups whose sizes the driver keeps (8 bytes each).
-    held: int = 5_000_000
-
-
-def walk(blocks: Iterable[np.ndarray], capacity: int, most: int | None = None) -> list[int]:
-    """First group of each shard but the first, by greedy filling; stops once there are more than ``most`` shards."""
+    #: Bound on the blocks whose sizes the driver keeps (8 bytes a group).
+    cached: int = 256
+
+
+class Blocks:
+    """Group sizes in order, of which only block totals are at hand; ``load`` reads the sizes of given blocks."""
+
+    def __init__(self, counts: np.ndarray, totals: np.ndarray, load: Callable[[list[int]], dict[int, np.ndarray]], cached: int):
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.sums = np.concatenate([[0], np.cumsum(totals)]).astype(np.int64)
+        self.load, self.cached, self.kept = load, max(1, cached), OrderedDict()
+
+    def prefetch(self, low: int, high: int, largest: int, shards: int) -> None:
+        """Reads the blocks that a cut of any capacity from low to high can lie in, as far as they may be kept."""
+        i = np.arange(1, shards)
+        a = np.searchsorted(self.sums[1:], np.maximum(i * (low - largest), 0), side="right")
+        b = np.minimum(np.searchsorted(self.sums[1:], i * high, side="right"), len(self.sums) - 2)
+        want: dict[int, None] = {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            for k in range(x, y + 1):
+                if len(want) >= self.cached:
+                    break
+                want[k] = None
+        if want:
+            self.kept.update(self.load(list(want)))
+
+    def sizes(self, k: int) -> np.ndarray:
+        if k not in self.kept:
+            while len(self.kept) >= self.cached:
+                self.kept.popitem(last=False)
+            self.kept.update(self.load([k]))
+        self.kept.move_to_end(k)
+        return self.kept[k]
+
+
+def walk(blocks: Blocks, capacity: int, most: int | None = None) -> list[int]:
+    """First group of each shard but the first, by greedy filling; stops once there are ``most`` cuts."""
     cuts: list[int] = []
-    load = done = 0
-    for sizes in blocks:
-        sums = np.cumsum(sizes)
-        before = at = 0
-        while at < len(sizes):
-            j = int(np.searchsorted(sums, capacity - load + before, side="right"))
-            if j >= len(sizes):
-                load += int(sums[-1]) - before
-                break
-            cuts.append(done + j)
-            if most is not None and len(cuts) >= most:
-                return cuts
-            load, before, at = 0, int(sums[j - 1]) if j else 0, j
-        done += len(sizes)
+    full = 0
+    while full + capacity < blocks.sums[-1]:
+        k = int(np.searchsorted(blocks.sums[1:], full + capacity, side="right"))
+        sums = np.cumsum(blocks.sizes(k))
+        j = int(np.searchsorted(sums, full + capacity - int(blocks.sums[k]), side="right"))
+        cuts.append(int(blocks.first[k]) + j)
+        full = int(blocks.sums[k]) + (int(sums[j - 1]) if j else 0)
+        if most is not None and len(cuts) >= most:
+            break
     return cuts
 
 
-def least_capacity(blocks: Callable[[], Iterable[np.ndarray]], total: int, largest: int, shards: int) -> int:
+def least_capacity(blocks: Blocks, largest: int, shards: int) -> int:
     """The smallest capacity that needs at most ``shards`` shards."""
+    total = int(blocks.sums[-1])
     low = max(largest, -(-total // shards))
     high = -(-total // shards) + largest
+    blocks.prefetch(low, high, largest, shards)
     while low < high:
         mid = (low + high) // 2
-        if len(walk(blocks(), mid, shards)) < shards:
+        if len(walk(blocks, mid, shards)) < shards:
             high = mid
         else:
             low = mid + 1
@@ -105,27 +137,23 @@ def bounds(docs: DataFrame, params: Params = Params()) -> list[int]:
     sizes = rows.select("id", tokens_of(F.col("text")).alias("n")).groupBy("id").agg(F.sum("n").alias("size"))
     order = sizes.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     packed = order.withColumn("part", F.spark_partition_id()).mapInArrow(_packer(p.block), "part bigint, seq bigint, n bigint, total bigint, largest bigint, ids binary, sizes binary")
-    packed = stored(packed)
-    count, total, largest = packed.agg(F.sum("n"), F.sum("total"), F.max("largest")).first()
-    if not count:
-        return []
-
-    def read() -> Iterator[np.ndarray]:
-        for r in packed.select("part", "seq", "sizes").orderBy("part", "seq").toLocalIterator():
-            yield np.frombuffer(r.sizes, dtype=np.int64)
-
-    kept = list(read()) if count <= p.held else None
-    blocks = (lambda: kept) if kept is not None else read
-    cuts = walk(blocks(), least_capacity(blocks, total, largest, p.shards))
-    if not cuts:
+    packed = stored(packed.withColumn("at", F.shiftleft("part", 40) + F.col("seq")))
+    heads = packed.select("at", "n", "total", "largest").toArrow().sort_by("at")
+    if not len(heads):
         return []
-    heads = packed.select("part", "seq", "n").orderBy("part", "seq").collect()
-    firsts = np.concatenate([[0], np.cumsum([r.n for r in heads])])
-    where = [(int(np.searchsorted(firsts, c, side="right")) - 1, c) for c in cuts]
-    need = [(heads[b].part, heads[b].seq) for b, _ in where]
-    hit = F.struct("part", "seq").isin([F.struct(F.lit(x).cast("bigint").alias("part"), F.lit(y).cast("bigint").alias("seq")) for x, y in dict.fromkeys(need)])
-    ids = {(r.part, r.seq): np.frombuffer(r.ids, dtype=np.int64) for r in packed.where(hit).select("part", "seq", "ids").toLocalIterator()}
-    return [int(ids[k][c - firsts[b]]) for k, (b, c) in zip(need, where, strict=True)]
+    at, n, total, largest = (heads.column(c).to_numpy() for c in ("at", "n", "total", "largest"))
+
+    def load(column: str, which: list[int]) -> dict[int, np.ndarray]:
+        """The given blocks' sizes or ids, in one read."""
+        place = {int(at[k]): k for k in which}
+        got = packed.where(F.col("at").isin(list(place))).select("at", column).toArrow()
+        return {place[a]: np.frombuffer(raw, dtype=np.int64) for a, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+
+    blocks = Blocks(n, total, lambda which: load("sizes", which), p.cached)
+    cuts = walk(blocks, least_capacity(blocks, int(largest.max()), p.shards))
+    where = [int(np.searchsorted(blocks.first, c, side="right")) - 1 for c in cuts]
+    ids = load("ids", list(dict.fromkeys(where))) if cuts else {}
+    return [int(ids[k][c - blocks.first[k]]) for k, c in zip(where, cuts, strict=True)]
 
 
 def shard_of(key: Column, first: list[int]) -> Column:
