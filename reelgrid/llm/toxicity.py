@@ -2,16 +2,16 @@
 
 A text's features are its distinct words, neighbouring word pairs and
 pairs with one word between them, hashed into ``2**bits`` coordinates.
-Training visits a bounded sample of labelled rows (``sample`` rows, the
-smallest by a hash of doc_id) in hash order, with one learning rate per
-coordinate and L1 sparsity.  The few weights that stay non-zero are sent
+Training visits a bounded sample of labelled documents (``sample`` of them,
+the smallest by a hash of doc_id, one row each) in hash order, with one
+learning rate per coordinate and L1 sparsity.  The few weights that stay non-zero are sent
 to the executors; scoring is one map over the corpus without a shuffle.
 
 Defined cases: a NULL or empty text has only the bias and is not toxic
 unless the bias alone says so; NULL labels and labels of absent documents
 are not trained on; where one doc_id has several labels the largest
-counts; repeated rows are trained on and scored each for itself; rows with
-a NULL doc_id are scored, never trained on; an empty labels table gives a
+counts; of rows with one doc_id only the least text is trained on (so the
+sample bounds rows), but all are scored, each for itself; rows with a NULL doc_id are scored, never trained on; an empty labels table gives a
 model that rejects nothing.  Other columns don't matter, whatever their names.
 """
 
@@ -35,7 +35,7 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Params:
     bits: int = 20
-    #: Bound on the labelled rows that are trained on.
+    #: Bound on the labelled documents, and so on the rows, that are trained on.
     sample: int = 40_000
     epochs: int = 4
     alpha: float = 1.0
@@ -122,7 +122,7 @@ def sampled_labels(labels: DataFrame, target: str, bound: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), target: str = "toxic") -> dict[str, np.ndarray]:
     """Fits the model; the sample is bounded by ``params.sample``, so it can be broadcast and trained on in one task."""
     rows = pick(docs, doc_id="doc_id:bigint", text="text").where("doc_id is not null and text is not null")
-    known = rows.join(F.broadcast(sampled_labels(labels, target, params.sample)), "doc_id")
+    known = rows.join(F.broadcast(sampled_labels(labels, target, params.sample)), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     order = F.concat(*[F.lpad(F.hex(F.xxhash64(c)), 16, "0") for c in ("doc_id", "text")])
     feats = known.select(order.alias("ord"), "label", "text").mapInArrow(_features(params.bits), "ord string, label double, features array<int>")
     out = feats.repartition(1).mapInArrow(_train(params), "coordinate bigint, weight double").toPandas()
