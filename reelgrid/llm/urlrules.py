@@ -4,8 +4,10 @@ A URL is a set of tokens, each marked by its part: scheme, host, path,
 query key, query value.  Labelled URLs (those whose document number has a
 label) are transactions, with one more item when the label is bad.
 FP-growth mines the frequent sets; a rule 'tokens -> bad' stays when its
-support and confidence reach the limits and no rule of a subset of its
-tokens is as confident.  Rules match by an inverted index: each is filed
+support, confidence and certainty reach the limits and no rule of a subset
+of its tokens is as confident.  Certainty is the part of the way from the
+base rate of bad labels to 1 that the confidence covers, so tokens that
+most URLs have make no rule however many labels are bad.  Rules match by an inverted index: each is filed
 under its rarest token, a URL looks up its tokens and a found rule fires
 when all its tokens are there.
 
@@ -13,7 +15,9 @@ Defined cases: NULL and empty URLs have no tokens and stay; tokens of
 digits alone are left out (they name one document); URLs without a
 document number are not trained on; of several labels of a document the
 worst counts; repeated rows count and are decided each for itself; empty
-tables, or labels without a bad one, give no rules and every page stays.
+tables, or labels without a bad one or without a good one, give no rules
+and every page stays; of rules with equal confidence and support the least
+tokens come first; very long URLs are treated whole.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ class Params:
     #: Labelled bad URLs that a rule needs at least, however few are labelled.
     hits: int = 10
     confidence: float = 0.4
+    #: Least (confidence - base) / (1 - base), where base is the share of bad labels.
+    certainty: float = 0.2
 
 
 def url_tokens(url: Column) -> Column:
@@ -80,13 +86,14 @@ def mine(pages: DataFrame, labels: DataFrame, params: Params = Params()) -> Data
     schema = "rule int, items array<string>, confidence double, support double"
     if rows.isEmpty():
         return pages.sparkSession.createDataFrame([], schema)
-    total = rows.count()
+    total, bad = rows.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    base = bad / total
     least = min(1.0, max(params.support, params.hits / total))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=params.confidence).fit(rows)
     sets = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("hits"))
     rules = with_bad.join(sets, "items").select("items", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support"))
-    rules = stored(rules.where(F.col("confidence") >= params.confidence))
+    rules = stored(rules.where((F.col("confidence") >= params.confidence) & (F.col("confidence") - base >= params.certainty * (1 - base)) & F.lit(bad < total)))
     less = rules.select(F.col("items").alias("few"), F.col("confidence").alias("sure"))
     more = rules.select("items", "confidence", F.explode("items").alias("token"))
     beaten = more.join(less.withColumn("token", F.col("few")[0]), "token").where((F.size("few") < F.size("items")) & (F.size(F.array_except("few", "items")) == 0) & (F.col("sure") >= F.col("confidence")))
