@@ -15,6 +15,10 @@ Each epoch has its own seeded order: md5 of seed, epoch and doc_id, then
 doc_id.  The prefix is found by token sums of hash buckets and then within
 the one bucket where the sum is passed, so no task holds a whole leaf.
 
+A source's domain is that of the first of ``rules`` (pattern, domain) whose
+pattern its name matches; a source that matches none has the first word of
+its name as its domain, and 'unknown' where it has none.
+
 Defined cases: NULL language or source is 'unknown'; languages, domains
 and sources without a weight have weight 1; weights must be positive whole
 numbers; NULL and empty texts have 0 tokens and come with every whole
@@ -42,15 +46,20 @@ class Params:
     budget_thousandths: int = 900
     #: Hex digits of the hash that make a bucket.
     digits: int = 3
+    #: Domains of the given tables' numbered sources, by last digit; other corpora bring their own rules.
+    rules: tuple[tuple[str, str], ...] = (("[048]$", "web"), ("[159]$", "news"), ("[26]$", "books"), ("[37]$", "forum"))
     domains: dict[str, int] = field(default_factory=lambda: {"web": 4, "news": 3, "books": 2, "forum": 1})
     langs: dict[str, int] = field(default_factory=lambda: {"en": 6, "fr": 2, "de": 2, "es": 1})
     sources: dict[str, int] = field(default_factory=dict)
 
 
-def domain_of(source: Column) -> Column:
-    """Domain of a source: by the number in its name, 'unknown' without one."""
-    n = F.regexp_extract(source, "([0-9])$", 1)
-    return F.when(n == "", "unknown").otherwise(F.element_at(F.array(*map(F.lit, ("web", "news", "books", "forum"))), (F.when(n == "", "0").otherwise(n).cast("int") % 4 + 1)))
+def domain_of(source: Column, p: Params) -> Column:
+    """Domain of a source."""
+    word = F.regexp_extract(source, "^[^A-Za-z0-9]*([A-Za-z0-9]+)", 1)
+    out = F.when(word == "", "unknown").otherwise(F.lower(word))
+    for pattern, domain in reversed(p.rules):
+        out = F.when(source.rlike(pattern), domain).otherwise(out)
+    return out
 
 
 def tokens_of(text: Column) -> Column:
@@ -85,11 +94,11 @@ def _split(nodes: DataFrame, parent: list[str], budget: str, key: str) -> DataFr
     return out.drop("full", "left", "open")
 
 
-def slim(docs: DataFrame) -> DataFrame:
+def slim(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, domain, lang, source, tokens) of every row."""
     rows = pick(docs, doc_id="doc_id:bigint", text="text", lang="lang", source="source")
     src = F.coalesce("source", F.lit("unknown"))
-    return rows.select("doc_id", domain_of(src).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), src.alias("source"), tokens_of(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", domain_of(src, p).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), src.alias("source"), tokens_of(F.col("text")).alias("tokens"))
 
 
 def budgets(rows: DataFrame, p: Params) -> DataFrame:
@@ -136,7 +145,7 @@ def _epochs(p: Params) -> Column:
 
 def mixture(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, epoch): every row that is taken, once an epoch."""
-    rows = stored(slim(docs))
+    rows = stored(slim(docs, params))
     got = rows.join(plan(rows, params), LEAF)
     return got.select("doc_id", *LEAF, "tokens", _epochs(params).alias("epoch"))
 
@@ -146,8 +155,8 @@ def mixed(docs: DataFrame, params: Params = Params()) -> DataFrame:
     flat = positional(docs)
     src = F.coalesce(F.col(f"_{place(docs, 'source')}"), F.lit("unknown"))
     keyed = flat.withColumn("doc_id", F.col(f"_{place(docs, 'doc_id')}").cast("bigint")).withColumn("source", src)
-    keyed = keyed.withColumn("domain", domain_of(F.col("source"))).withColumn("lang", F.coalesce(F.col(f"_{place(docs, 'lang')}"), F.lit("unknown")))
-    got = keyed.join(plan(stored(slim(docs)), params), LEAF)
+    keyed = keyed.withColumn("domain", domain_of(F.col("source"), params)).withColumn("lang", F.coalesce(F.col(f"_{place(docs, 'lang')}"), F.lit("unknown")))
+    got = keyed.join(plan(stored(slim(docs, params)), params), LEAF)
     return got.select(*flat.columns, _epochs(params).alias("epoch")).drop("epoch").toDF(*docs.columns)
 
 
@@ -164,11 +173,11 @@ def oracle(p: Params = Params()) -> str:
         {out} AS (SELECT * EXCLUDE (is_full, budget), CASE WHEN is_full THEN CAST(cap AS HUGEINT) ELSE
             (CAST(weight AS HUGEINT) * (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {parent}))) // nullif(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {parent}), 0) END AS share FROM {out}_1)"""
 
+    rules = " ".join(f"WHEN regexp_matches(source, '{pattern}') THEN '{domain}'" for pattern, domain in p.rules)
     return f"""
     WITH r AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
             CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS BIGINT) AS tokens FROM documents),
-        d AS (SELECT *, CASE WHEN regexp_extract(source, '([0-9])$', 1) = '' THEN 'unknown' ELSE
-            (['web', 'news', 'books', 'forum'])[CAST(regexp_extract(source, '([0-9])$', 1) AS INT) % 4 + 1] END AS domain FROM r),
+        d AS (SELECT *, CASE {rules} WHEN regexp_extract(source, '[A-Za-z0-9]+') = '' THEN 'unknown' ELSE lower(regexp_extract(source, '^[^A-Za-z0-9]*([A-Za-z0-9]+)', 1)) END AS domain FROM r),
         leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {p.max_epochs} AS BIGINT) AS cap, {weight("source", p.sources)} AS weight
             FROM d GROUP BY ALL HAVING sum(tokens) > 0),
         lng AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, {weight("lang", p.langs)} AS weight FROM leaf GROUP BY domain, lang),
