@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where unset (tests), a local one is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where unset, a local session (tests) sets one, a cluster raises."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if found is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="reelgrid-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -67,13 +69,13 @@ def positional(df: DataFrame) -> DataFrame:
 
 
 def pick(df: DataFrame, **want: str) -> DataFrame:
-    """Selects columns as new=old[:type], whatever other columns there are."""
+    """Selects columns as new=old[:type], whatever other columns there are; a value that isn't of the type (an id without a number) is NULL."""
     flat = positional(df)
     out = []
     for new, spec in want.items():
         old, _, kind = spec.partition(":")
         c = F.col(f"_{place(df, old)}")
-        out.append((c.cast(kind) if kind else c).alias(new))
+        out.append((c.try_cast(kind) if kind else c).alias(new))
     return flat.select(*out)
 
 

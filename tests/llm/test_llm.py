@@ -188,6 +188,22 @@ def test_mixed_rows_are_the_mixture(docs, clash, empty):
         mixing.budgets(mixing.slim(docs), mixing.Params(langs={"en": 0}))
 
 
+def test_domains_follow_the_rules(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(x,) for x in ("src0", "src7", "Wiki-dump/en", "forum.example.org", "--", "")], "s string")
+    assert [r[0] for r in d.select(mixing.domain_of(F.col("s"), mixing.Params())).collect()] == ["web", "forum", "wiki", "forum", "unknown", "unknown"]
+    own = mixing.Params(rules=(("^wiki", "books"), ("[.]org$", "web")))
+    assert [r[0] for r in d.select(mixing.domain_of(F.lower("s"), own)).collect()] == ["src0", "src7", "books", "web", "unknown", "unknown"]
+
+
+def test_equal_ratios_split_alike(spark):
+    """Two languages whose capacity over weight is equal get what their weights say."""
+    d = spark.createDataFrame([(i, "w " * 10, lang, "src0", 0) for i, lang in enumerate(["en"] * 2 + ["fr"] * 2)], DOCS)
+    q = {r.lang: r.quota for r in mixing.budgets(mixing.slim(d), mixing.Params(max_epochs=1, budget_thousandths=500, langs={})).collect()}
+    assert q == {"en": 10, "fr": 10}
+
+
 # 3: toxicity
 
 
@@ -227,6 +243,70 @@ def test_toxicity_of_awkward_rows(marked, docs, clash, empty, spark):
     assert toxicity.rejected(empty, toxicity.train(empty, marked[1])).count() == 0
 
 
+def plain_model(rows, p):
+    """FTRL-proximal by the book, one coordinate at a time; rows: (label, set of coordinates) in order of training."""
+    from math import exp, sqrt
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - (p.l1 if z[i] > 0 else -p.l1)) / ((p.beta + sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for y, xs in rows:
+            w = {i: weight(i) for i in xs}
+            g = 1 / (1 + exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for i in xs:
+                sigma = (sqrt(n[i] + g * g) - sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z) if weight(i)}
+
+
+def plain_coordinates(text, bits):
+    """Words, neighbouring pairs and pairs around a word, hashed one by one."""
+    m = (1 << 64) - 1
+    ws = tk.plain_tokens(text)
+    h = [int(tk.tokenize(pa.array([w])).hash[0]) for w in ws]
+    out = {x >> (64 - bits) for x in h}
+    for gap, salt in ((1, 0x9FB21C651E98DF25), (2, 0xC2B2AE3D27D4EB4F)):
+        for a, b in zip(h, h[gap:]):
+            x = ((a * salt) & m) ^ ((b * (salt | 7) + gap) & m)
+            x = ((x ^ (x >> 29)) * 0x9E3779B97F4A7C15) & m
+            out.add(x >> (64 - bits))
+    return out | {1 << bits}
+
+
+def test_training_equals_plain_ftrl(spark, marked):
+    from math import exp
+
+    from pyspark.sql import functions as F
+
+    p = toxicity.Params(bits=16, l1=0.5, epochs=3)
+    docs, labels = marked[0].where("doc_id < 60"), marked[1]
+    m = toxicity.train(docs, labels, p)
+    order = F.concat(*[F.lpad(F.hex(F.xxhash64(c)), 16, "0") for c in ("doc_id", "text")])
+    rows = docs.join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id").select(order.alias("o"), "y", "text").collect()
+    want = plain_model([(r.y, plain_coordinates(r.text, p.bits)) for r in sorted(rows, key=lambda r: r.o)], p)
+    got = dict(zip(m["at"].tolist(), m["weight"].tolist(), strict=True))
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want) and len(want) > 5
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.scores(docs, m).collect():
+        s = sum(want.get(i, 0.0) for i in plain_coordinates(texts[r.doc_id], p.bits))
+        assert r.toxicity == pytest.approx(1 / (1 + exp(-s)), abs=1e-6)
+
+
+def test_repeated_rows_stay_within_the_bound(spark, marked):
+    docs = marked[0].where("doc_id < 50")
+    many = docs
+    for _ in range(3):
+        many = many.unionAll(many)
+    a, b = (toxicity.train(d, marked[1], toxicity.Params(sample=40, l1=0.5)) for d in (docs, many))
+    assert a["at"].tolist() == b["at"].tolist() and np.allclose(a["weight"], b["weight"]) and len(a["at"])
+
+
 def test_sample_bound(marked):
     assert toxicity.sampled_labels(marked[1], "toxic", 50).count() == 50
     assert toxicity.sampled_labels(marked[1], "toxic", 10**6).count() == 1001
@@ -250,15 +330,19 @@ def least_by_table(sizes, k):
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=14), st.integers(1, 5), st.integers(1, 4))
 def test_capacity_is_the_least(sizes, k, block):
     parts = [np.array(sizes[i : i + block]) for i in range(0, len(sizes), block)]
-    c = sharding.least_capacity(lambda: parts, sum(sizes), max(sizes), k)
-    assert c == least_by_table(sizes, k)
-    cuts = sharding.walk(parts, c)
-    assert len(cuts) < k or k == 1 and not cuts
-
-
-@pytest.mark.parametrize("held", [10**6, 0])
-def test_shards(docs, clash, empty, held):
-    p = sharding.Params(shards=5, block=7, held=held)
+    for cached in (1, 100):
+        blocks = sharding.Blocks(np.array(list(map(len, parts))), np.array([x.sum() for x in parts]), lambda ks: {i: parts[i] for i in ks}, cached)
+        c = sharding.least_capacity(blocks, max(sizes), k)
+        assert c == least_by_table(sizes, k)
+        cuts = sharding.walk(blocks, c)
+        assert len(cuts) < k or k == 1 and not cuts
+        for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            assert sum(sizes[a:b]) <= c and (b == len(sizes) or sum(sizes[a : b + 1]) > c)
+
+
+@pytest.mark.parametrize("cached", [100, 1])
+def test_shards(docs, clash, empty, cached):
+    p = sharding.Params(shards=5, block=7, cached=cached)
     got = sharding.shards(docs, p).collect()
     assert len(got) == docs.count()
     order = sorted((r.doc_id if r.doc_id is not None else -1, r.shard) for r in got)
@@ -466,6 +550,59 @@ def test_url_rules(spark):
     assert urlrules.decisions(p, urlrules.mine(p.limit(0), lab)).where("drop").count() == 0
 
 
+def brute_rules(tx, support, hits, confidence, certainty):
+    """Every set of tokens, without mining."""
+    from itertools import combinations
+
+    n, bad = len(tx), sum(urlrules.BAD in t for t in tx)
+    base, least = bad / n, max(support, hits / n)
+    out = {}
+    for t in tx:
+        if urlrules.BAD in t:
+            own = sorted(t - {urlrules.BAD})
+            for k in range(1, len(own) + 1):
+                for s in combinations(own, k):
+                    if s not in out:
+                        have = [x for x in tx if set(s) <= x]
+                        hit = sum(urlrules.BAD in x for x in have)
+                        out[s] = (hit / len(have), hit / n)
+    out = {s: (c, f) for s, (c, f) in out.items() if f >= least - 1e-12 and c >= confidence and (c - base) >= certainty * (1 - base)}
+    return {s: v for s, v in out.items() if not any(set(r) < set(s) and out[r][0] >= v[0] for r in out)}
+
+
+@pytest.mark.parametrize("seed,share", [(1, 0.25), (2, 0.5), (3, 0.9)])
+def test_every_url_rule_is_found(spark, seed, share):
+    rng = random.Random(seed)
+    pages, labels = [], []
+    for i in range(120):
+        bad = rng.random() < share
+        host = rng.choice(["pills", "shop"] if bad and rng.random() < 0.6 else ["news", "shop", "blog"])
+        pages.append((i, f"https://{host}.example/{rng.choice(['en', 'fr'])}/{i}?{rng.choice(['ref=ad', 'page=x', 'q'])}", "", "own"))
+        labels.append((i, int(not bad), 0))
+    p = spark.createDataFrame(pages, "page_id bigint, url string, html string, items string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    params = urlrules.Params(support=0.02, hits=5)
+    want = brute_rules([set(r.items) for r in urlrules.transactions(p, lab).collect()], params.support, params.hits, params.confidence, params.certainty)
+    rules = urlrules.mine(p, lab, params)
+    found = rules.collect()
+    assert {tuple(r["items"]): (round(r.confidence, 9), round(r.support, 9)) for r in found} == {s: (round(c, 9), round(f, 9)) for s, (c, f) in want.items()}
+    assert [r.rule for r in sorted(found, key=lambda r: (-r.confidence, -r.support, r["items"]))] == list(range(1, len(found) + 1))
+    order = {tuple(r["items"]): r.rule for r in found}
+    have = {r.page_id: set(r.have) for r in p.select("page_id", urlrules.url_tokens(p.url).alias("have")).collect()}
+    for r in urlrules.decisions(p, rules).collect():
+        assert r.rules == sorted(n for s, n in order.items() if set(s) <= have[r.page_id])
+    assert seed == 3 or want
+
+
+def test_tokens_that_all_urls_have_make_no_rule(spark):
+    pages = [(i, f"https://good.example/{i}", "") for i in range(50)] + [(99, "https://good.example/" + "long/" * 20_000 + "99", "")]
+    p = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for bad in (lambda i: i % 2, lambda i: 1, lambda i: 0):
+        lab = spark.createDataFrame([(i, 1, int(bad(i))) for i in range(50)], "doc_id bigint, quality int, toxic int")
+        out = urlrules.decisions(p, urlrules.mine(p, lab)).collect()
+        assert len(out) == 51 and not any(r.drop for r in out)
+
+
 def test_document_number(spark):
     from pyspark.sql import functions as F
 
