@@ -14,7 +14,10 @@ bucket each text is first paired with the bucket's least id; then, once
 components are known, with every text of the bucket that is still in
 another component.  Pairs inside one component can't change the groups, so
 leaving them out loses nothing, and a group of thousands costs thousands
-of comparisons, not millions.
+of comparisons, not millions.  A bucket of many components is split by its
+members' rarest shingles first, which loses no pair at the threshold.
+
+The exact similarity is that of the sets of 64-bit shingle hashes.
 
 Defined cases: NULL and empty texts (and texts without a token) are never
 duplicates and stay; texts of fewer tokens than a shingle have one shingle,
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
 from reelgrid.llm.base import pick, place, positional, stored
-from reelgrid.llm.components import distinct_buckets, linked
+from reelgrid.llm.components import grouped, joined, linked, rare_members, shared_buckets, torn
 
 _U = np.uint64
 
@@ -49,6 +52,8 @@ class Params:
     threshold: float = 0.55
     #: Standard errors that an estimate may lie under the threshold and still be verified.
     slack: float = 3.0
+    #: Pairs a member beyond which a bucket is split by rare shingles.
+    spread: int = 64
 
 
 def shingles(t: tk.Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +172,7 @@ def _bander(p: Params):
             if len(b):
                 keys = band_keys(_regs(b.column(1), p), p.bands)
                 ids = np.repeat(b.column(0).to_numpy(), p.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], ["band", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], ["bucket", "id"])
 
     return run
 
@@ -192,7 +197,7 @@ def _setter(p: Params):
                 h, doc = shingles(tk.tokenize(b.column(1)), p.shingle)
                 by = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[by], np.arange(len(b) + 1))
-                h = (h[by] >> _U(32)).astype(np.uint32)
+                h = h[by]
                 sets = [np.unique(h[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(b))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
@@ -204,7 +209,7 @@ def _verifier(p: Params):
         for b in batches:
             out = np.zeros(len(b))
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -215,6 +220,14 @@ def _verifier(p: Params):
     return run
 
 
+def _lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of every set, one row each."""
+    for b in batches:
+        for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h), pa.array(np.full(len(h), len(h)))], ["id", "feature", "n"])
+
+
 def shingle_sets(rows: DataFrame, need: DataFrame, p: Params) -> DataFrame:
     """(id, set) of the wanted documents.
 
@@ -239,15 +252,19 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, group_id) of every document that has a duplicate; group_id is the least doc_id of the group."""
     p = params
     rows = pick(docs, doc_id="doc_id:bigint", text="text").where("doc_id is not null and text is not null")
-    sketch = rows.mapInArrow(_sketcher(p), "doc_id bigint, f1 bigint, f2 bigint, n int, regs binary")
-    copies = stored(sketch.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("regs").alias("regs"), F.collect_set("doc_id").alias("ids")))
-    nodes = copies.select("id", "n", "regs")
-    bands = nodes.select("id", "regs").mapInArrow(_bander(p), "band bigint, id bigint")
-    buckets = stored(distinct_buckets(bands.groupBy("band").agg(F.array_sort(F.collect_set("id")).alias("ids"))))
-    sets = shingle_sets(rows, buckets.select(F.explode("ids").alias("id")).distinct(), p)
-    same = copies.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b")).where("a <> b")
-    found = linked(buckets, lambda pairs: verified(nodes, sets, pairs, p), same)
-    return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    sketch = stored(rows.mapInArrow(_sketcher(p), "doc_id bigint, f1 bigint, f2 bigint, n int, regs binary"))
+    least = [F.min("doc_id").alias("id"), F.max("doc_id").alias("top"), F.min("n").alias("n"), F.min("regs").alias("regs")]
+    nodes = stored(sketch.groupBy("f1", "f2").agg(*least))
+    member = joined(sketch, nodes)
+    buckets = shared_buckets(nodes.select("id", "regs").mapInArrow(_bander(p), "bucket bigint, id bigint"))
+    sets = shingle_sets(rows, buckets.select("id").distinct(), p)
+
+    def refine(hot: DataFrame) -> DataFrame:
+        need = sets.join(hot.select("id").distinct().hint("merge"), "id", "left_semi")
+        return rare_members(hot, need.mapInArrow(_lister, "id bigint, feature bigint, n bigint"), p.threshold)
+
+    roots = linked(buckets, lambda pairs: verified(nodes.select("id", "n", "regs"), sets, pairs, p), refine, torn(member), p.spread)
+    return grouped(member, roots)
 
 
 def duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:

@@ -9,6 +9,9 @@ index holds each set's rarest signatures, just so many that two similar
 sets must share one (prefix pruning); candidates of too different length
 are pruned, the rest compared by exact Jaccard.
 
+A prefix bucket that still has many unlinked members is split by the rarest
+signatures among its own members, which loses no pair at the threshold.
+
 Rarity comes from a table of document counts of fixed size
 (``2**slot_bits`` counters by hash), summed over all documents; any order
 would be right, a rare-first order is fast.  Sets that are equal are one
@@ -17,7 +20,8 @@ node from the start.
 Defined cases: NULL and empty texts and texts without a signature have no
 fingerprint and no duplicate; rows with NULL doc_id are left out; rows that
 repeat a doc_id add nothing when equal, and are one document else; the
-least doc_id of a group stands for it; an empty table gives no rows.
+least doc_id of a group stands for it; an empty table gives no rows; very
+long texts are treated whole; signatures are compared by 48-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
 from reelgrid.llm.base import pick, stored
-from reelgrid.llm.components import distinct_buckets, linked
+from reelgrid.llm.components import grouped, joined, linked, rare_members, shared_buckets, torn
 
 _U = np.uint64
 
@@ -50,6 +54,8 @@ class Params:
     chain: int = 2
     threshold: float = 0.55
     slot_bits: int = 18
+    #: Pairs a member beyond which a bucket is split by rare signatures.
+    spread: int = 64
     anchors: tuple[str, ...] = tuple(ANCHORS)
     common: tuple[str, ...] = tuple(dict.fromkeys(COMMON))
 
@@ -165,6 +171,14 @@ def _lister(p: Params):
     return run
 
 
+def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signatures of every set, one row each."""
+    for b in batches:
+        for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = unpack(raw).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h), pa.array(np.full(len(h), len(h)))], ["id", "feature", "n"])
+
+
 def _comparer(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,18 +194,19 @@ def _comparer(p: Params):
 
 
 def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, group_id, signatures) of every document that has a similar one."""
+    """(doc_id, group_id) of every document that has a similar one."""
     p = params
     rows = pick(docs, doc_id="doc_id:bigint", text="text").where("doc_id is not null and text is not null")
     counts = np.zeros(1 << p.slot_bits, dtype=np.int64)
     slots = rows.mapInArrow(_slot_counts(p), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    prints = rows.mapInArrow(_printer(p, shared), "doc_id bigint, f1 bigint, f2 bigint, sigs binary")
-    nodes = stored(prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.collect_set("doc_id").alias("ids"), F.first("sigs").alias("sigs")))
-    lists = nodes.select("id", "sigs").mapInArrow(_lister(p), "part int, sig bigint, id bigint").groupBy("part", "sig").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    buckets = stored(distinct_buckets(lists))
-    known = stored(nodes.select("id", "sigs").join(buckets.select(F.explode("ids").alias("id")).distinct().hint("merge"), "id", "left_semi"))
+    prints = stored(rows.mapInArrow(_printer(p, shared), "doc_id bigint, f1 bigint, f2 bigint, sigs binary"))
+    nodes = stored(prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top"), F.first("sigs").alias("sigs")))
+    member = joined(prints, nodes)
+    listed = nodes.select("id", "sigs").mapInArrow(_lister(p), "part int, sig bigint, id bigint")
+    buckets = shared_buckets(listed.select((F.shiftleft(F.col("part").cast("bigint"), 48) + F.col("sig")).alias("bucket"), "id"))
+    known = stored(nodes.select("id", "sigs").join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"))
     length = (F.length("sigs") / 6).cast("int")
     tau = p.threshold
 
@@ -206,5 +221,8 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
             pairs = pairs.join(known.select(F.col("id").alias(c), F.col("sigs").alias(f"s{c}")).hint("merge"), c)
         return stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_comparer(p), "a bigint, b bigint"))
 
-    same = nodes.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("id").alias("b")).where("a <> b")
-    return linked(buckets, verify, same).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    def refine(hot: DataFrame) -> DataFrame:
+        need = known.join(hot.select("id").distinct().hint("merge"), "id", "left_semi")
+        return rare_members(hot, need.mapInArrow(_featurer, "id bigint, feature bigint, n bigint"), tau)
+
+    return grouped(member, linked(buckets, verify, refine, torn(member), p.spread))

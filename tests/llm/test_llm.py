@@ -441,8 +441,9 @@ def shingle_sets(rows):
     return out
 
 
-def test_near_duplicates_equal_brute_force(docs, rows, clash):
-    got = {r.doc_id: r.group_id for r in hyperminhash.groups(docs).collect()}
+@pytest.mark.parametrize("spread", [64, 0])
+def test_near_duplicates_equal_brute_force(docs, rows, clash, spread):
+    got = {r.doc_id: r.group_id for r in hyperminhash.groups(docs, hyperminhash.Params(spread=spread)).collect()}
     assert got == brute_groups(shingle_sets(rows), 0.55)
     assert {100, 105, 110, 114, 140} <= set(got) and not {130, 131, 132, 133, 120, 150} & set(got)
     kept = hyperminhash.drop_duplicates(clash)
@@ -451,6 +452,23 @@ def test_near_duplicates_equal_brute_force(docs, rows, clash):
     assert kept.columns == clash.columns and ids == Counter({r[0]: 1 for r in rows if r[0] not in gone})
 
 
+def test_hot_buckets_are_split(spark):
+    """Half of all rows are short texts around one common shingle, some of them near copies, and a fifth is one text."""
+    rng = random.Random(11)
+    rows = [(i, f"{words(rng, 3)} common start words {words(rng, 3)}", "en", "s", 0) for i in range(150)]
+    for k in range(12):
+        w = rows[k][1].split()
+        w[-1] = "other"
+        rows.append((200 + k, " ".join(w), "en", "s", 0))
+    rows += [(300 + k, "one text that a fifth of all rows hold", "en", "s", 0) for k in range(60)]
+    rows += [(400 + i, words(rng, 40), "en", "s", 0) for i in range(60)]
+    want = brute_groups(shingle_sets(rows), 0.55)
+    for spread in (64, 1):
+        p = hyperminhash.Params(spread=spread, log_buckets=7, bands=64, slack=6.0)
+        assert {r.doc_id: r.group_id for r in hyperminhash.groups(spark.createDataFrame(rows, DOCS), p).collect()} == want
+    assert len(want) == 84
+
+
 def test_repeated_doc_ids_stay_once(spark):
     d = spark.createDataFrame([(1, "a b c d e", "en", "s", 0)] * 3 + [(1, None, None, None, None), (None, "x", None, None, 0), (None, "x", None, None, 0)], DOCS)
     got = collected(hyperminhash.drop_duplicates(d))
@@ -475,7 +493,8 @@ def test_estimate_is_corrected():
     assert np.mean(raw) > 0.03 and np.mean(errors) < 0.015  # two mantissa bits clash; the estimate knows
 
 
-def test_spotsigs_equal_brute_force(spark):
+@pytest.mark.parametrize("spread", [64, 0])
+def test_spotsigs_equal_brute_force(spark, spread):
     rng = random.Random(9)
     text = lambda n: " ".join(rng.choice(WORDS + ["the", "is", "a", "of"] * 8) for _ in range(n))
     rows = [(i, text(rng.randint(20, 200)), "en", "s", 0) for i in range(30)]
@@ -485,14 +504,14 @@ def test_spotsigs_equal_brute_force(spark):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         rows.append((50 + i, " ".join(w), "en", "s", 0))
     rows += [(70, rows[4][1], "en", "s", 0)] * 2 + [(71, None, None, None, None), (72, "", "en", "s", 0), (None, rows[4][1], "en", "s", 0)]
-    p = spotsigs.Params()
+    p = spotsigs.Params(spread=spread)
     sig, doc = spotsigs.signatures(pa.array([r[1] for r in rows]), p)
     sets = defaultdict(set)
     for s, d in zip(sig.tolist(), doc.tolist(), strict=True):
         if rows[d][0] is not None:
             sets[rows[d][0]].add(s)
     d = spark.createDataFrame(rows, DOCS)
-    assert {r.doc_id: r.group_id for r in spotsigs.groups(d).collect()} == brute_groups(sets, p.threshold)
+    assert {r.doc_id: r.group_id for r in spotsigs.groups(d, p).collect()} == brute_groups(sets, p.threshold)
     want = set()
     w = rows[5][1].split()
     for i, x in enumerate(w):
