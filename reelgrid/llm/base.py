@@ -24,18 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return str(found)
 
 
+#: Lets Spark remove the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders written by ``stored`` in this process.
 STORED: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again; the files go when the driver ends."""
+def written(df: DataFrame, *by: str) -> str:
+    """Writes ``df`` as Parquet into the shared folder, one folder a value of ``by``; the files go when the driver ends, shuffle files at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reelgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     STORED.append(path)
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -32,7 +32,7 @@ def op5(p: decontaminate.Params = decontaminate.Params()) -> str:
 
 
 def op7(p: windows.Params = windows.Params()) -> str:
-    """Repeated windows merged to intervals; 'first' is by doc_id, which is scan order where one file is sorted by it."""
+    """Repeated windows merged to intervals, for op1 as well; 'first' is by doc_id, which is scan order where one file is sorted by it."""
     w = p.width
     return f"""
     WITH d AS (SELECT doc_id, {tokens("text")} AS t FROM documents),

@@ -64,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_suffix_array, op2_mixing, op3_toxicity, op4_sharding, op5_decontamination, op6_near_duplicates, op7_substring_dedup, op8_url_rules, op9_spotsigs, op10_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
+    "op1_suffix_array": oracles.op7(),
     "op2_mixing": mixing.oracle(),
     "op5_decontamination": oracles.op5(),
     "op6_near_duplicates": oracles.op6(),

@@ -84,31 +84,26 @@ def firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pack(buckets: int, block: int, held: list) -> pa.RecordBatch:
-    """One block; held: hashes of windows, ids (with a mask of NULLs), windows of each row; NULL ids have negative counts."""
-    h = np.concatenate([x[0] for x in held])
-    ids = np.concatenate([x[1] for x in held])
-    counts = np.concatenate([x[2] for x in held])
+    """One block; held: hashes of windows, their places, ids, and places of each row (see ``placed``)."""
+    h, at, ids, counts = (np.concatenate([x[k] for x in held]) for k in range(4))
     first, more, rest = firsts(h)
     rows = [(block % buckets, block, _KIND_DOCS, ids.tobytes(), counts.astype(np.int64).tobytes())]
     if len(rest):
-        rows.append((block % buckets, block, _KIND_CODES, (rest * 2 + 1).astype(np.int64).tobytes(), b""))
-    h = h[first]
+        rows.append((block % buckets, block, _KIND_CODES, (at[rest] * 2 + 1).astype(np.int64).tobytes(), b""))
+    h, at = h[first], at[first] * 2 + more
     b = (h % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     by = np.argsort(b, kind="stable")
     cuts = np.flatnonzero(np.diff(b[by])) + 1
     for part in np.split(by, cuts) if len(by) else []:
-        at = first[part] * 2 + more[part]
-        step = np.diff(at, prepend=0)
+        step = np.diff(at[part], prepend=0)
         small = step.max() < 1 << 16
         rows.append((int(b[part[0]]), block, _KIND_WINDOWS, h[part].tobytes(), step.astype(np.uint16 if small else np.uint32).tobytes()))
     return _rows(rows, ["bucket", "block", "kind", "a", "b"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
 
-def held_rows(s: pa.RecordBatch, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``pack`` takes of some rows with window hashes h, n of each row."""
-    ids = s.column(0)
-    gone = ids.is_null().to_numpy(zero_copy_only=False)
-    return h, ids.fill_null(0).to_numpy(), np.where(gone, -1 - n, n)
+def placed(ids: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the number of places of each row; rows with a NULL id have negative numbers."""
+    return ids.fill_null(0).to_numpy(), np.where(ids.is_null().to_numpy(zero_copy_only=False), -1 - counts, counts)
 
 
 def _packer(p: Params, block_windows: int, buckets: int):
@@ -121,7 +116,8 @@ def _packer(p: Params, block_windows: int, buckets: int):
                 pos, _ = tk.windows_inside(t.offs, p.width)
                 if not len(pos):
                     continue
-                held.append(held_rows(s, tk.window_hashes(t.hash, p.width)[pos], np.maximum(np.diff(t.offs) - p.width + 1, 0)))
+                at = np.arange(size, size + len(pos))
+                held.append((tk.window_hashes(t.hash, p.width)[pos], at, *placed(s.column(0), np.maximum(np.diff(t.offs) - p.width + 1, 0))))
                 size += len(pos)
                 if size >= block_windows:
                     yield pack(buckets, block, held)
@@ -164,7 +160,7 @@ def count_bucket(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(out, names, types)])
 
 
-def _merger(width: int):
+def merger(width: int):
     def run(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
@@ -210,4 +206,4 @@ def intervals(docs: DataFrame, params: Params = Params()) -> DataFrame:
     block_windows, buckets = p.sizes(size // 6)
     packed = rows.mapInArrow(_packer(p, block_windows, buckets), PACKED)
     routed = packed.groupBy("bucket").applyInArrow(count_bucket, ROUTED)
-    return routed.groupBy("block").applyInArrow(_merger(p.width), FOUND)
+    return routed.groupBy("block").applyInArrow(merger(p.width), FOUND)

@@ -110,6 +110,22 @@ def brute_windows(rows, width):
     return out
 
 
+def brute_roles(rows, width):
+    """Tokens of the first windows and of the others, rows in scan order."""
+    many, seen = Counter(), set()
+    texts = [(r[0], tk.plain_tokens(r[1])) for r in rows]
+    for _, t in texts:
+        many.update(tuple(t[j : j + width]) for j in range(len(t) - width + 1))
+    out = {"keep": defaultdict(set), "remove": defaultdict(set)}
+    for i, t in texts:
+        for j in range(len(t) - width + 1):
+            w = tuple(t[j : j + width])
+            if many[w] > 1:
+                out["remove" if w in seen else "keep"][i].update(range(j, j + width))
+                seen.add(w)
+    return out
+
+
 @pytest.mark.parametrize("block,bucket", [(1_000_000, 2_000_000), (300, 200)])
 def test_windows_equal_brute_force(docs, rows, block, bucket):
     got = windows.intervals(docs, windows.Params(width=20, block_windows=block, bucket_windows=bucket)).collect()
@@ -119,19 +135,68 @@ def test_windows_equal_brute_force(docs, rows, block, bucket):
     assert len({(r.doc_id, r.start_token, r.end_token, r.role) for r in got if r.doc_id != 140}) == len([r for r in got if r.doc_id != 140])
 
 
+def test_a_hot_window_is_one_entry_a_block():
+    """Copies within a block don't travel: half of all rows may hold one passage."""
+    rng = np.random.default_rng(4)
+    hot = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    held = [(np.concatenate([hot, rng.integers(0, 1 << 63, 5, dtype=np.uint64)]), np.arange(55) + 55 * i, np.array([i]), np.array([55])) for i in range(200)]
+    sent = windows.pack(3, 7, held).to_pylist()
+    assert sum(len(r["a"]) // 8 for r in sent if r["kind"] == 1) == 50 + 5 * 200
+    assert sum(len(r["a"]) // 8 for r in sent if r["kind"] == 2) == 50 * 199
+
+
+def test_repeats_with_a_hot_passage_and_a_least_id(spark):
+    rng = random.Random(8)
+    hot = words(rng, 30)
+    rows = [(-(2**63) + i, f"{words(rng, rng.randint(0, 9))} {hot} {words(rng, rng.randint(0, 9))}" if i % 2 else words(rng, 45), "en", "s", 0) for i in range(60)]
+    rows += [(None, f"{hot} and more", "en", "s", 0), (900, hot.split()[0] + " again" * 200, "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    for found in (windows.intervals(d, windows.Params(width=20, block_windows=300, bucket_windows=200, row_windows=1)), suffixes.intervals(d, suffixes.Params(window=2, passage=20, block_tokens=300, bucket_symbols=150))):
+        got = found.collect()
+        assert covered(got) == brute_windows(rows, 20)
+        for role, want in brute_roles(rows, 20).items():
+            assert covered([r for r in got if r.role == role]) == want
+
+
 @pytest.mark.parametrize("small", [False, True])
-def test_suffix_sorting_finds_every_passage(docs, rows, small):
-    p = suffixes.Params(window=2, passage=20, **({"block_tokens": 400, "bucket_symbols": 150, "base": 100} if small else {}))
+def test_suffix_sorting_equals_brute_force(docs, rows, small):
+    p = suffixes.Params(window=2, passage=20, **({"block_tokens": 400, "bucket_symbols": 150} if small else {}))
     got = suffixes.intervals(docs, p).collect()
-    mine, exact, least = covered(got), brute_windows(rows, 20), brute_windows(rows, p.least)
-    assert set(exact) <= set(mine)
-    for i, at in exact.items():  # a passage's certain part is found
-        assert len(mine[i] & at) >= p.least
-    for i, at in mine.items():  # and nothing that doesn't occur again
-        assert at <= least[i]
-    again = suffixes.intervals(docs, suffixes.Params(window=2, passage=20)).collect()
-    assert covered(again) == mine
-    assert not {3, 5, 7, 133, 150} & set(mine)
+    assert covered(got) == brute_windows(rows, 20)
+    assert sorted(map(tuple, got), key=repr) == collected(windows.intervals(docs, windows.Params(width=20)))
+
+
+def test_suffix_sorting_of_texts_that_repeat_within(spark):
+    """Periodic texts and passages at many offsets, which need all depths of the recursion."""
+    rng = random.Random(12)
+    long = words(rng, 300).split()
+    rows = [(i, " ".join(long[rng.randrange(200) :][: rng.randint(30, 100)]) + " " + words(rng, 20), "en", "s", 0) for i in range(40)]
+    rows += [(100, "a b c " * 60, "en", "s", 0), (101, "x " + "b c a " * 50, "en", "s", 0), (102, "same " * 90, "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS).repartition(3, "doc_id")
+    for k in (150, 1_000_000):
+        got = suffixes.intervals(d, suffixes.Params(window=2, passage=20, block_tokens=5 * k, bucket_symbols=k)).collect()
+        assert covered(got) == brute_windows(rows, 20)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(2, 4), min_size=1, max_size=40), st.integers(1, 6))
+def test_difference_cover_order(symbols, k):
+    """Splitting and merging by ranks of places 1 and 2 modulo 3 gives the order of suffixes."""
+    s = np.array(symbols)
+    n = len(s)
+    order = sorted(range(n), key=lambda i: symbols[i:])
+    rank = np.zeros(n + 4, dtype=np.int64)
+    rank[order] = np.arange(1, n + 1)
+    rank[np.arange(n + 4) % 3 == 0] = 0  # not known
+    at = np.arange(n)
+    own = np.where(at % 3 == 0, at + 1, at)
+    two = np.where(at % 3 == 1, at + 1, at + 2)
+    zero = np.zeros(n, dtype=np.int64)
+    t = suffixes.Suffixes(at % 3, s, np.append(s[1:], 0), rank[own], rank[two], zero, zero)
+    assert t.order().tolist() == order
+    cuts = t.take(np.array(sorted(set(order[:: max(1, n // k)]), key=order.index)))
+    where = t.bucket(cuts)
+    assert all(a <= b for a, b in zip(where[order], where[order][1:]))
 
 
 def test_suffix_array_order():
