@@ -11,10 +11,11 @@ at either border.  Equal runs are sorted once.
 The runs' suffixes are sorted by difference cover modulo 3.  Suffixes at
 places 1 and 2 modulo 3 are the sample: their triples are sorted and named
 in order, and the strings of names are sorted by the same algorithm, until
-no name occurs twice.  A triple that reaches its run's end ends there.  Of
-neighbouring names that occur once only the first goes into the strings of
-names, since no comparison looks past it; a rank is the name and, where it
-occurs again, the rank among the strings of names.  The remaining suffixes,
+no name occurs twice.  A suffix ends with its run, and so does a triple; equal
+suffixes have equal ranks.  Of neighbouring names that occur once only the
+first goes into the strings of names and ends a run there, since no
+comparison looks past it; a rank is the name and, where it occurs again, the
+rank among the strings of names.  The remaining suffixes,
 place 0 modulo 3, are sorted by first symbol and next rank and merged in.
 Then neighbours in the suffix array are compared: where their prefixes of
 ``least`` tokens agree, both are candidates.
@@ -123,11 +124,11 @@ def _marks(raw: bytes, n: int) -> np.ndarray:
 
 
 def _number(n: int) -> bytes:
-    return int(n).to_bytes(8, "little")
+    return int(n).to_bytes(8, "big")
 
 
 def _of(raw: bytes) -> int:
-    return int.from_bytes(raw, "little")
+    return int.from_bytes(raw, "big")
 
 
 def _runs(key: np.ndarray) -> list[tuple[int, int]]:
@@ -429,6 +430,17 @@ class Suffixes:
             equal &= a == b
         return less
 
+    def distinct(self) -> tuple[np.ndarray, Suffixes]:
+        """Which different suffix each one is, and the different ones; suffixes of one place modulo 3 are equal when their ranks are."""
+        x = np.where(self.place == 0, self.x, 0)
+        by = np.lexsort((self.p2, self.p, x, self.place))
+        new = np.ones(len(by), dtype=bool)
+        if len(by) > 1:
+            new[1:] = np.any([np.diff(c[by]) != 0 for c in (self.place, x, self.p, self.p2)], axis=0)
+        which = np.empty(len(by), dtype=np.int64)
+        which[by] = np.cumsum(new) - 1
+        return which, self.take(by[new])
+
     def bucket(self, splits: Suffixes) -> np.ndarray:
         return _searched(len(self.x), len(splits.x), lambda mid: self.before(splits.take(mid)))
 
@@ -452,12 +464,17 @@ def _next(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _following(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next two symbols of each place, 0 from the run's end on."""
+    y, z = _next(s, 1)[at], _next(s, 2)[at]
+    y = np.where(y > 1, y, 0)
+    return y, np.where((y > 1) & (z > 1), z, 0)
+
+
 def triples(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Sample places that hold a symbol, which distinct triple each has, the triples in order, and which stand more than once."""
     at = np.flatnonzero((np.arange(len(s)) % 3 > 0) & (s > 1))
-    x, y, z = s[at], _next(s, 1)[at], _next(s, 2)[at]
-    # what follows a run's end doesn't matter
-    z = np.where(y > 1, z, 0)
+    x, y, z = s[at], *_following(s, at)
     by = np.lexsort((z, y, x))
     new = np.ones(len(by), dtype=bool)
     new[1:] = (np.diff(x[by]) != 0) | (np.diff(y[by]) != 0) | (np.diff(z[by]) != 0)
@@ -509,7 +526,7 @@ def _name(t: pa.Table) -> pa.Table:
     n = int(new.sum())
     once = np.bincount(group, minlength=n) == 1
     once[group[more]] = False
-    once[group[(y <= 1) | (z <= 1)]] = True
+    once[group[(y == 0) | (z == 0)]] = True
     name = (group + 2) * 2 + once[group]
     out: list = [(-1, 2, bucket, _number(n), _number(int(once.sum())))]
     done = 0
@@ -519,12 +536,16 @@ def _name(t: pa.Table) -> pa.Table:
     return _table(out, BACK, _BACK)
 
 
-def _needed(name: np.ndarray) -> np.ndarray:
-    """Which names the shorter strings hold: those that occur again, and what follows them."""
+def _needed(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names the shorter string holds, those that occur again and what follows them, and their places there: names that occur once end a run."""
     again = (name > 0) & (name % 2 == 0)
     need = again.copy()
     need[1:] |= again[:-1]
-    return need
+    need &= name > 0
+    end = ~again[need]
+    follows = np.flatnonzero(need) + 1
+    end |= np.append(name, 0)[follows] == 0
+    return need, np.arange(len(end)) + np.cumsum(end) - end
 
 
 def _name_strings(stride: int):
@@ -543,9 +564,11 @@ def _name_strings(stride: int):
         half = len(s) // 3
         full = np.zeros(2 * half + 6, dtype=np.int64)
         full[np.where(at % 3 == 1, at // 3, half + 3 + at // 3)] = name[which]
-        s = full[_needed(full)] >> 1
-        n = len(s)
-        s = np.concatenate([s, np.zeros(3 + -n % 3, dtype=np.int64)])
+        need, place = _needed(full)
+        n = int(place[-1]) + 1 if len(place) else 0
+        s = np.zeros(n + 3 + -n % 3, dtype=np.int64)
+        s[:n] = 1
+        s[place] = full[need] >> 1
         return _table([(block, len(s) if n else 0, _small(s), _small(full))], STRING, _STRING)
 
     return run
@@ -558,10 +581,10 @@ def _suffixes(t: pa.Table) -> tuple[int, np.ndarray, Suffixes]:
     n = len(s)
     # a rank is the name, then the rank among the strings of names where the name occurs again
     full = _big(b[kind.index(2)])
-    need = _needed(full)
     second = np.zeros(len(full), dtype=np.int64)
     if 1 in kind:
-        second[need] = _big(a[kind.index(1)])[: int(need.sum())]
+        need, place = _needed(full)
+        second[need] = _big(a[kind.index(1)])[place]
     second[full % 2 == 1] = 0
     half = n // 3
     rank, rank2 = np.zeros((2, n + 3), dtype=np.int64)
@@ -569,7 +592,9 @@ def _suffixes(t: pa.Table) -> tuple[int, np.ndarray, Suffixes]:
         r[1:n:3], r[2:n:3] = x[:half], x[half + 3 : 2 * half + 3]
     at = np.flatnonzero(s > 1)
     one, two = np.where(at % 3 == 0, at + 1, at), np.where(at % 3 == 1, at + 1, at + 2)
-    return block, at, Suffixes(at % 3, s[at], _next(s, 1)[at], rank[one], rank[two], rank2[one], rank2[two])
+    y, _ = _following(s, at)
+    two[(at % 3 != 1) & (y == 0)] = n  # past a run's end
+    return block, at, Suffixes(at % 3, s[at], y, rank[one], rank[two], rank2[one], rank2[two])
 
 
 def _sample_suffixes(step: int):
@@ -586,12 +611,21 @@ def _rows_of(block: int, to: np.ndarray, own: list) -> list[tuple]:
     return [(int(to[by[a]]), block, 1, *[f(c[by[a:b]]) for f, c in own]) for a, b in _runs(to[by])]
 
 
-def _send_suffixes(splits: Suffixes):
-    """One block: every suffix, to the bucket of the splitting suffixes around it."""
+def _send_suffixes(splits: Suffixes, buckets: int):
+    """One block: each different suffix, to the bucket of the splitting suffixes around it; and once which of them stands where."""
 
     def run(t: pa.Table) -> pa.Table:
         block, at, own = _suffixes(t)
-        return _table(_rows_of(block, own.bucket(splits), [(_small, c) for c in (at, *own.columns())]), SENT, _SENT)
+        which, own = own.distinct()
+        to = own.bucket(splits)
+        by = np.argsort(to, kind="stable")
+        back = np.empty(len(by), dtype=np.int64)
+        back[by] = np.arange(len(by))
+        to, own = to[by], own.take(by)
+        rows = [(block % buckets, block, 0, _small(at), _small(back[which]))]
+        for a, b in _runs(to):
+            rows.append((int(to[a]), block, 1, _number(a), *[_small(c[a:b]) for c in own.columns()]))
+        return _table(rows, SENT, _SENT)
 
     return run
 
@@ -610,7 +644,7 @@ def _send_prefixes(splits: list[np.ndarray]):
         more[which[copied[live]]] = True
         keep = live[first]
         own = own.take(keep)
-        to = lex_bucket([own.x, own.y, _next(s, 2)[at[keep]]], splits)
+        to = lex_bucket([own.x, own.y, _following(s, at[keep])[1]], splits)
         cols = [(_small, c) for c in own.columns()]
         return _table(_rows_of(block, to, [*cols, (np.ndarray.tobytes, prefix), (lambda m: np.packbits(m).tobytes(), more)]), SENT, _SENT)
 
@@ -623,25 +657,38 @@ def _received(t: pa.Table, names: str) -> tuple[list[int], list[int], list[np.nd
 
 
 def _rank_bucket(t: pa.Table) -> pa.Table:
-    blocks, sizes, (at, *cols) = _received(t, "abcdefgh")
-    order, bucket = Suffixes(*cols).order(), int(t.column("bucket")[0].as_py())
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(1, len(order) + 1)
-    out: list = [(-1, 2, bucket, _number(len(order) + 1), _number(0))]
-    done = 0
-    for block, n in zip(blocks, sizes, strict=True):
-        out.append((int(block), 1, bucket, _small(at[done : done + n]), _small(rank[done : done + n])))
-        done += n
+    bucket, kind = int(t.column("bucket")[0].as_py()), t.column("kind").to_numpy()
+    where = t.filter(pa.array(kind == 0))
+    out: list = [(b, 0, bucket, x, y) for b, x, y in zip(*(where.column(c).to_pylist() for c in ("block", "a", "b")), strict=True)]
+    t = t.filter(pa.array(kind == 1))
+    if len(t):
+        blocks, sizes, cols = _received(t, "bcdefgh")
+        own = Suffixes(*cols)
+        order = own.order()
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = own.take(order[:-1]).before(own.take(order[1:]))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.cumsum(new)
+        out.append((-1, 2, bucket, _number(len(order) + 1), _number(0)))
+        done = 0
+        for block, lo, n in zip(blocks, t.column("a").to_pylist(), sizes, strict=True):
+            out.append((int(block), 1, bucket, lo, _small(rank[done : done + n])))
+            done += n
     return _table(out, BACK, _BACK)
 
 
 def _gather_ranks(stride: int):
     def run(t: pa.Table) -> pa.Table:
-        block, bucket = int(t.column("block")[0].as_py()), t.column("bucket").to_pylist()
-        at = [_big(r) for r in t.column("a").to_pylist()]
-        rank = np.zeros(max(int(x.max()) for x in at) + 4, dtype=np.int64)
-        for k, x, raw in zip(bucket, at, t.column("b").to_pylist(), strict=True):
-            rank[x] = _big(raw) + stride * k
+        block, kind, bucket = int(t.column("block")[0].as_py()), t.column("kind").to_pylist(), t.column("bucket").to_pylist()
+        a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+        at, which = _big(a[kind.index(0)]), _big(b[kind.index(0)])
+        own = np.zeros(int(which.max()) + 1, dtype=np.int64)
+        for i, k in enumerate(kind):
+            if k == 1:
+                x = _big(b[i])
+                own[_of(a[i]) : _of(a[i]) + len(x)] = x + stride * bucket[i]
+        rank = np.zeros(int(at.max()) + 4, dtype=np.int64)
+        rank[at] = own[which]
         return _table([(block, len(rank), _small(rank))], STRING, _STRING)
 
     return run
@@ -668,7 +715,7 @@ def _compare_neighbours(t: pa.Table) -> pa.Table:
 
 def _stats(back: DataFrame) -> tuple[int, bool]:
     """One more than the most that a bucket holds, so that bucket times this is a start for its numbers; and whether any name needs more."""
-    count, low = (F.conv(F.hex(F.reverse(c)), 16, 10).cast("bigint") for c in ("a", "b"))
+    count, low = (F.conv(F.hex(c), 16, 10).cast("bigint") for c in ("a", "b"))
     most, all_, once = back.where("kind = 2").agg(F.max(count), F.sum(count), F.sum(low)).first()
     return (most or 0) + 1, (once or 0) < (all_ or 0)
 
@@ -714,9 +761,9 @@ def ranks(strings: DataFrame, p: Params) -> DataFrame:
         splits = some.take(by[np.unique(np.linspace(0, len(by) - 1, k + 1).astype(np.int64)[1:-1])])
     else:
         splits = Suffixes(*[np.zeros(0, dtype=np.int64)] * 7)
-    merged = stored(both.groupBy("block").applyInArrow(_send_suffixes(splits), SENT).groupBy("bucket").applyInArrow(_rank_bucket, BACK))
+    merged = stored(both.groupBy("block").applyInArrow(_send_suffixes(splits, k), SENT).groupBy("bucket").applyInArrow(_rank_bucket, BACK))
     stride, _ = _stats(merged)
-    return stored(merged.where("kind = 1").groupBy("block").applyInArrow(_gather_ranks(stride), STRING))
+    return stored(merged.where("kind < 2").groupBy("block").applyInArrow(_gather_ranks(stride), STRING))
 
 
 # Surroundings of candidates, and the last comparison

@@ -193,7 +193,7 @@ def test_difference_cover_order(symbols, k):
     two = np.where(at % 3 == 1, at + 1, at + 2)
     zero = np.zeros(n, dtype=np.int64)
     t = suffixes.Suffixes(at % 3, s, np.append(s[1:], 0), rank[own], rank[two], zero, zero)
-    assert t.order().tolist() == order
+    assert t.order().tolist() == order and len(t.distinct()[1].x) == n
     cuts = t.take(np.array(sorted(set(order[:: max(1, n // k)]), key=order.index)))
     where = t.bucket(cuts)
     assert all(a <= b for a, b in zip(where[order], where[order][1:]))
