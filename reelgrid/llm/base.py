@@ -59,6 +59,14 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()}:
+        if path in STORED:
+            STORED.remove(path)
+            drop(df.sparkSession, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -49,10 +49,9 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     """
     w, h = Window.partitionBy("bucket"), F.xxhash64("id")
     wide = members.select("bucket", "id", F.count("*").over(w).alias("n"), F.min("id").over(w).alias("first"), F.bit_xor(h).over(w).alias("x"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).over(w).alias("s"))
-    wide = stored(wide.where("n > 1"))
-    once = wide.where("id = first").select("bucket", "n", "first", "x", "s").distinct()
-    once = once.groupBy("n", "first", "x", "s").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")).select("bucket", "weight")
-    return stored(wide.select("bucket", "id", "first").join(once.hint("merge"), "bucket"))
+    alike = Window.partitionBy("n", "first", "x", "s")
+    once = wide.where("n > 1").withColumn("least", F.min("bucket").over(alike)).withColumn("weight", F.count_if(F.col("id") == F.col("first")).over(alike))
+    return stored(once.where("bucket = least").select("bucket", "id", "first", "weight"))
 
 
 def rare_members(hot: DataFrame, features: DataFrame, threshold: float) -> DataFrame:

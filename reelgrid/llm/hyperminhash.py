@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
-from reelgrid.llm.base import pick, place, positional, stored
+from reelgrid.llm.base import pick, place, positional, release, stored
 from reelgrid.llm.components import grouped, joined, linked, rare_members, shared_buckets, torn
 
 _U = np.uint64
@@ -256,6 +256,7 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     least = [F.min("doc_id").alias("id"), F.max("doc_id").alias("top"), F.min("n").alias("n"), F.min("regs").alias("regs")]
     nodes = stored(sketch.groupBy("f1", "f2").agg(*least))
     member = joined(sketch, nodes)
+    release(sketch)
     buckets = shared_buckets(nodes.select("id", "regs").mapInArrow(_bander(p), "bucket bigint, id bigint"))
     sets = shingle_sets(rows, buckets.select("id").distinct(), p)
 

@@ -7,7 +7,7 @@ threshold's factor can't be similar, so a set meets only its own partition
 and, near the upper border, the next one.  Within a partition an inverted
 index holds each set's rarest signatures, just so many that two similar
 sets must share one (prefix pruning); candidates of too different length
-are pruned, the rest compared by exact Jaccard.
+or bitmaps are pruned, the rest compared by exact Jaccard.
 
 A prefix bucket that still has many unlinked members is split by the rarest
 signatures among its own members, which loses no pair at the threshold.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
-from reelgrid.llm.base import pick, stored
+from reelgrid.llm.base import pick, release, stored
 from reelgrid.llm.components import grouped, joined, linked, rare_members, shared_buckets, torn
 
 _U = np.uint64
@@ -60,6 +60,10 @@ class Params:
     common: tuple[str, ...] = tuple(dict.fromkeys(COMMON))
 
 
+#: The bitmap's columns.
+WORDS = ["w0", "w1", "w2", "w3"]
+
+
 def _hashes(words: tuple[str, ...]) -> np.ndarray:
     return np.sort(tk.tokenize(pa.array(list(words))).hash)
 
@@ -120,6 +124,14 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def bitmaps(sig: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """256 bits of each set, in four words; each signature sets one bit."""
+    at = (tk.mix(sig) >> _U(56)).astype(np.int64)
+    out = np.zeros(4 * n, dtype=_U)
+    np.bitwise_or.at(out, doc * 4 + (at >> 6), _U(1) << (at & 63).astype(_U))
+    return out.view(np.int64).reshape(n, 4)
+
+
 def _printer(p: Params, shared):
     """Sets in rare-first order, with two order-free sums that name the set."""
 
@@ -136,7 +148,8 @@ def _printer(p: Params, shared):
                 run_ = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(tk.mix(sig * _U(2) + _U(salt)), dtype=_U)])
                 sums.append((run_[cuts[some + 1]] - run_[cuts[some]]).view(np.int64))
             sets = pa.array([pack(sig[cuts[i] : cuts[i + 1]]) for i in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *map(pa.array, sums), sets], ["doc_id", "f1", "f2", "sigs"])
+            bits = bitmaps(sig, doc, len(b))[some].T
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *map(pa.array, sums), sets, *map(pa.array, bits)], ["doc_id", "f1", "f2", "sigs", *WORDS])
 
     return run
 
@@ -201,22 +214,28 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     slots = rows.mapInArrow(_slot_counts(p), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    prints = stored(rows.mapInArrow(_printer(p, shared), "doc_id bigint, f1 bigint, f2 bigint, sigs binary"))
-    nodes = stored(prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top"), F.first("sigs").alias("sigs")))
+    prints = stored(rows.mapInArrow(_printer(p, shared), f"doc_id bigint, f1 bigint, f2 bigint, sigs binary, {', '.join(f'{w} bigint' for w in WORDS)}"))
+    least = [F.min("doc_id").alias("id"), F.max("doc_id").alias("top"), *[F.first(c).alias(c) for c in ("sigs", *WORDS)]]
+    nodes = stored(prints.groupBy("f1", "f2").agg(*least))
     member = joined(prints, nodes)
+    release(prints)
     listed = nodes.select("id", "sigs").mapInArrow(_lister(p), "part int, sig bigint, id bigint")
     buckets = shared_buckets(listed.select((F.shiftleft(F.col("part").cast("bigint"), 48) + F.col("sig")).alias("bucket"), "id"))
-    known = stored(nodes.select("id", "sigs").join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"))
+    known = stored(nodes.select("id", "sigs", *WORDS).join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"))
+    release(nodes)
     length = (F.length("sigs") / 6).cast("int")
     tau = p.threshold
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Length pruning; then, where ``met`` is counted, overlap pruning: what two sets share is at most the shared prefix signatures (``met``) and one set's remainder."""
+        """Pruning by length, by bitmaps (sets differ at least in as many signatures as their bitmaps do in bits) and, where
+        ``met`` is counted, by overlap: two sets share at most the shared prefix signatures (``met``) and one set's remainder."""
         for c in "ab":
-            pairs = pairs.join(known.select(F.col("id").alias(c), length.alias(f"n{c}")).hint("merge"), c)
+            pairs = pairs.join(known.select(F.col("id").alias(c), length.alias(f"n{c}"), *[F.col(w).alias(w + c) for w in WORDS]).hint("merge"), c)
+        both = F.col("na") + F.col("nb")
         near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(tau) - 1e-6
-        enough = F.col("met") >= (F.col("na") + F.col("nb")) * F.lit(tau / (1 + tau)) - F.ceil(F.greatest("na", "nb") * F.lit(tau) - 1e-9) + 1 - 1e-6
-        pairs = pairs.where(near & (F.col("met").isNull() | enough)).select("a", "b")
+        alike = sum(F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in WORDS) <= both * F.lit((1 - tau) / (1 + tau)) + 1e-6
+        enough = F.col("met") >= both * F.lit(tau / (1 + tau)) - F.ceil(F.greatest("na", "nb") * F.lit(tau) - 1e-9) + 1 - 1e-6
+        pairs = pairs.where(near & alike & (F.col("met").isNull() | enough)).select("a", "b")
         for c in "ab":
             pairs = pairs.join(known.select(F.col("id").alias(c), F.col("sigs").alias(f"s{c}")).hint("merge"), c)
         return stored(pairs.select("a", "b", "sa", "sb").mapInArrow(_comparer(p), "a bigint, b bigint"))
