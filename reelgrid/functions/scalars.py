@@ -7,18 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelgrid.functions.languages import LANGUAGES
+
 VIDEO = ("mkv", "mp4", "avi", "mpg", "mpeg", "mov", "rmvb")
 TEXT_SUBTITLES = ("srt", "ass", "ssa", "sub", "vtt", "txt", "smi", "ttml", "mpl")
 FORMATS = {"srt": "srt", "ass": "ass", "ssa": "ssa", "sub": "microdvd", "vtt": "vtt", "txt": "tmp", "ttml": "ttml", "mpl": "mpl2"}
 
-#: alpha-2, alpha-3, bibliographic alpha-3, English name.
-LANGUAGES = (
-    ("en", "eng", None, "English"), ("pl", "pol", None, "Polish"), ("de", "deu", "ger", "German"),
-    ("fr", "fra", "fre", "French"), ("es", "spa", None, "Spanish"), ("it", "ita", None, "Italian"),
-    ("pt", "por", None, "Portuguese"), ("ru", "rus", None, "Russian"), ("ja", "jpn", None, "Japanese"),
-    ("ko", "kor", None, "Korean"), ("zh", "zho", "chi", "Chinese"), ("cs", "ces", "cze", "Czech"),
-    ("nl", "nld", "dut", "Dutch"), ("sv", "swe", None, "Swedish"), ("uk", "ukr", None, "Ukrainian"),
-)
 
 
 def language_map() -> Column:
@@ -27,10 +21,13 @@ def language_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
 
 
-def unify_language(code: Column) -> Column:
-    """Two-letter, three-letter or bibliographic code to alpha-3; NULL for 'und' and unknown codes."""
+def unify_language(code: Column, strict: bool = False) -> Column:
+    """Two-letter, three-letter or bibliographic code to alpha-3; NULL for 'und'; an unknown code is NULL, or an error if ``strict``."""
     low = F.lower(F.trim(code))
-    return F.when(F.length(low).between(2, 3), F.try_element_at(language_map(), low))
+    found = F.when(F.length(low).between(2, 3), F.try_element_at(language_map(), low))
+    if not strict:
+        return found
+    return F.when(found.isNull() & (low != "und"), F.raise_error(F.concat(F.lit("unknown language code "), code))).otherwise(found)
 
 
 def language_name(code: Column) -> Column:
@@ -87,6 +84,20 @@ def is_video(path: Column) -> Column:
     return path_ext(path).isin(*VIDEO)
 
 
+def split_part(path: Column) -> Column:
+    """(name, part) of a path that names a part 'cdN'; NULL for other paths.
+
+    The name is the path without the part: ``/dir/film cd1.avi`` and
+    ``/dir/film/cd1.avi`` belong to ``/dir/film.avi`` and
+    ``/dir/film/film.avi``.  Names ending in rmvb end in mkv.
+    """
+    rule = "(?i)^(.*[^0-9a-z]+)(cd[0-9]+)([^0-9a-z]+.*)"
+    head, part, tail = (F.regexp_extract(path, rule, i) for i in (1, 2, 3))
+    base = F.when(head.endswith("/"), F.concat(head, F.regexp_extract(head, "([^/]*)/+$", 1))).otherwise(F.substr(head, F.lit(1), F.length(head) - 1))
+    name = F.regexp_replace(F.concat(base, tail), "(?i)(?<=[^/])\\.rmvb$", ".mkv")
+    return F.when(part != "", F.struct(name.alias("name"), F.substr(part, F.lit(3)).cast("int").alias("part")))
+
+
 def relative_path(path: Column, base: Column) -> Column:
     """The path below ``base`` when it lies there, else the path itself."""
     root = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))
@@ -117,6 +128,11 @@ def end_offset(start: Column, duration: Column, tag: Column) -> Column:
     return F.coalesce(F.greatest(start, F.lit(0)) + duration, tag)
 
 
+def kept_start(path: Column, start: Column) -> Column:
+    """The start of an input counts only in Matroska files, elsewhere it is 0."""
+    return F.when(path_ext(path).isin("mkv", "mka", "mks", "mk3d", "webm"), start).otherwise(F.lit(0).cast("bigint"))
+
+
 def sync_offset(wanted: Column, own: Column) -> Column:
     """Difference to apply, NULL when there is none."""
     return F.nullif(wanted - own, F.lit(0).cast("bigint"))
@@ -160,7 +176,7 @@ def keyword_language(text: Column) -> Column:
     after = F.regexp_extract_all(low, F.lit(f"(?U)\\b{word}\\W+([a-z]{{2,3}})\\b"), F.lit(1))
     before = F.regexp_extract_all(low, F.lit(f"(?U)\\b([a-z]{{2,3}})\\W+{word}\\b"), F.lit(1))
     glued = F.regexp_extract_all(low, F.lit("(?U)(?<![a-z])([a-z]{2,3})(?:dub|dubbing|lektor)(?![a-z])"), F.lit(1))
-    known = F.filter(F.transform(F.concat(after, before, glued), unify_language), lambda x: x.isNotNull())
+    known = F.filter(F.transform(F.concat(after, before, glued), lambda x: unify_language(x)), lambda x: x.isNotNull())
     return F.get(known, F.lit(0))
 
 

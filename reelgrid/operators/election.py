@@ -13,12 +13,13 @@ def priority_rank(value: Column, wanted: list[str]) -> Column:
 
 
 def elected(rows: DataFrame, key: list[str], source: str, better: list[Column], tie: Column, forced: Column | None = None, all_compete: bool = False) -> DataFrame:
-    """The winning source of each key and its best row.
+    """All rows of the winning source of each key.
 
     A source with more rows of the key than any other wins outright;
     otherwise the sources with most rows (all of them with
     ``all_compete``) compete on their best row by ``better``, NULLs last,
-    then the smallest ``tie``.  Rows where ``forced`` holds win their key.
+    then the smallest ``tie``.  A key with rows where ``forced`` holds keeps
+    those rows, of whatever source, and no others.
     """
     rows = rows.select("*", F.coalesce(forced if forced is not None else F.lit(False), F.lit(False)).alias("_forced"))
     n = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*key, source)))
@@ -26,8 +27,9 @@ def elected(rows: DataFrame, key: list[str], source: str, better: list[Column],
     n = n.withColumn("_most", F.max("_n").over(w))
     lead = F.lit(0) if all_compete else F.when(F.col("_n") == F.col("_most"), 0).otherwise(1)
     order = [F.col("_forced").desc(), lead, *[c.desc_nulls_last() for c in better], tie.asc()]
-    best = n.withColumn("_rank", F.row_number().over(w.orderBy(*order))).where("_rank = 1")
-    return best.withColumn("entries", F.col("_n").cast("bigint")).drop("_n", "_most", "_rank", "_forced")
+    first = F.first(F.struct(F.col(source).alias("source"), "_forced")).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    won = F.when(F.col("_first._forced"), F.col("_forced")).otherwise(F.col(source).eqNullSafe(F.col("_first.source")))
+    return n.withColumn("_first", first).where(won).withColumn("entries", F.col("_n").cast("bigint")).drop("_n", "_most", "_first", "_forced")
 
 
 def best_of(rows: DataFrame, key: list[str], pick: list[str], *rank: Column) -> DataFrame:
@@ -85,6 +87,11 @@ def mean_quality(q: Column) -> Column:
     return F.coalesce(F.avg(F.nullif(q, F.lit(0.0))), F.lit(0.0))
 
 
+def rich(rows: DataFrame, key: list[str], value: str, low: float, high: float, least: float = 3.5) -> DataFrame:
+    """Keys whose values have an entropy above ``least``."""
+    return entropy(rows, key, value, low, high).where(F.col("entropy") > least)
+
+
 def entropy(rows: DataFrame, key: list[str], value: str, low: float, high: float, bins: int = 256) -> DataFrame:
     """Shannon entropy (natural logarithm) of the histogram of ``value``."""
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / ((high - low) / bins)))).cast("int")

@@ -15,10 +15,34 @@ def merged(rows: DataFrame, key: list[str], start: str, end: str, reach: int | f
     return isle.groupBy(*key, "_isle").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_isle")
 
 
-def complement(isles: DataFrame, key: list[str], start: str, end: str, step: int = 1) -> DataFrame:
-    """Gaps between the islands of a key: from one end plus ``step`` to the next start minus ``step``."""
-    w = Window.partitionBy(*key).orderBy(start)
-    gap = isles.select(*key, (F.lag(end).over(w) + step).alias("gap_start"), (F.col(start) - step).alias("gap_end"))
+#: Beyond every whole number that marks a place.
+_FAR = 1 << 62
+
+
+def ranges_around(points: DataFrame, bounds: DataFrame, key: list[str], at: str, margin: int) -> DataFrame:
+    """Whole ranges within ``margin`` of the points of a key, cut to its [low, high], joined where they touch.
+
+    A key of ``bounds`` (key, low, high) without points gets its full range.
+    """
+    near = bounds.join(points.select(*key, F.col(at).alias("_at")), key, "left")
+    lo, hi = F.greatest("low", F.col("_at") - margin), F.least("high", F.col("_at") + margin)
+    none = F.col("_at").isNull()
+    cut = near.select(*key, F.when(none, F.col("low")).otherwise(lo).alias("first"), F.when(none, F.col("high")).otherwise(hi).alias("last"))
+    return merged(cut.where("first <= last").distinct(), key, "first", "last", 1).select(*key, "first", "last")
+
+
+def complement(isles: DataFrame, key: list[str], start: str, end: str, step: int = 1, bounds: DataFrame | None = None) -> DataFrame:
+    """Gaps between the islands of a key: from one end plus ``step`` to the next start minus ``step``.
+
+    With ``bounds`` (key, low, high), also what lies before the first and
+    after the last island; a key without islands is one gap from low to high.
+    """
+    rows = isles.select(*key, F.col(start).alias("_a"), F.col(end).alias("_b"))
+    if bounds is not None:
+        far = F.lit(_FAR)
+        rows = rows.union(bounds.select(*key, -far, F.col("low") - step)).union(bounds.select(*key, F.col("high") + step, far))
+    so_far = F.max("_b").over(Window.partitionBy(*key).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    gap = rows.select(*key, (so_far + step).alias("gap_start"), (F.col("_a") - step).alias("gap_end"))
     return gap.where("gap_start is not null and gap_start <= gap_end")
 
 

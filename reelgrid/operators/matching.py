@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's folder; where none is set (tests), a local one."""
+    """Reliable checkpoint in the session's folder; where none is set, a local session (tests) uses a local one and a cluster raises."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelgrid-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if found is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="reelgrid-"))
     return df.checkpoint()
 
 
@@ -39,8 +42,8 @@ def numbered(df: DataFrame, by: list[str], *order: Column | str, name: str = "po
 
 
 def zipped(left: DataFrame, right: DataFrame, by: list[str], order_l: list, order_r: list) -> DataFrame:
-    """Row i of a group on one side with row i of the same group on the other."""
-    return numbered(left, by, *order_l).join(numbered(right, by, *order_r), [*by, "pos"])
+    """Row i of a group on one side with row i of the same group on the other; what has no partner stays, with NULLs (unequal counts are an error of the input)."""
+    return numbered(left, by, *order_l).join(numbered(right, by, *order_r), [*by, "pos"], "full")
 
 
 def ordinals(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
@@ -53,13 +56,18 @@ def ordinals(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
 
 
 def two_stage(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str) -> DataFrame:
-    """One-to-one match: by key where it is unique on both sides, the rest in order; (lid, rid, stage)."""
+    """One-to-one match: by key where it is unique on both sides, the rest in order; (lid, rid, stage).
+
+    When the sides differ in number, what is left over has the stage
+    'unmatched' and NULL for its partner.
+    """
     ul = left.groupBy(key).agg(F.count("*").alias("n"), F.min(lid).alias(lid)).where("n = 1").drop("n")
     ur = right.groupBy(key).agg(F.count("*").alias("n"), F.min(rid).alias(rid)).where("n = 1").drop("n")
     first = ul.join(ur, key).select(lid, rid, F.lit("key").alias("stage"))
     rest_l = ordinals(left.select(lid).join(first.select(lid), lid, "left_anti"), lid)
     rest_r = ordinals(right.select(rid).join(first.select(rid), rid, "left_anti"), rid)
-    return first.unionByName(rest_l.join(rest_r, "pos").select(lid, rid, F.lit("order").alias("stage")))
+    stage = F.when(F.col(lid).isNull() | F.col(rid).isNull(), "unmatched").otherwise("order")
+    return first.unionByName(rest_l.join(rest_r, "pos", "full").select(lid, rid, stage.alias("stage")))
 
 
 def sign_hash(vec: Column, lanes: int = 1, width: int = 64) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.operators import election as el
-from reelgrid.operators.grouping import part_groups, part_issue
+from reelgrid.operators.grouping import part_groups, part_issue, split_groups, split_plan, with_default
 from reelgrid.session import load
 
 PRIORITY = ["fr", "de"]
@@ -41,7 +41,7 @@ def best_stream_election(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_stream_all_compete(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "part")
-    got = el.elected(parts, ["p_brand"], "p_type", [F.col("p_size"), F.col("p_retailprice")], F.col("p_partkey"), F.col("p_partkey") == 7, True)
+    got = el.elected(parts, ["p_brand"], "p_type", [F.col("p_size"), F.col("p_retailprice")], F.col("p_partkey"), F.col("p_partkey").isin(7, 8, 9), True)
     return got.select("p_brand", "p_type", "p_partkey", "entries")
 
 
@@ -126,8 +126,34 @@ def entropy_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.entropy(ev, ["user_id"], "value", 0.0, 512.0).select("user_id", F.round("entropy", 6).alias("entropy"))
 
 
+def _split_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each line: parts beside each other, parts in a folder, and names without a part."""
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    path = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("/m/film"), k, F.lit(" CD"), n, F.lit(".avi"))).when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("/m/film"), k, F.lit("/cd"), n, F.lit(".RMVB")))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", F.coalesce(path, F.concat(F.lit("/m/film"), k, F.lit(" acd"), n, F.lit(".mkv"))).alias("path"))
+
+
+def split_part_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_groups(_split_paths(spark, sf_dir), "path").select("name", F.size("parts").alias("n"), F.element_at("parts", 1)["path"].alias("first"), "issue")
+
+
+def split_part_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_plan(_split_paths(spark, sf_dir), "path", True).select("name", F.size("parts").alias("n"), F.element_at("parts", -1)["path"].alias("last"))
+
+
+def default_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first returned line of each order is its default."""
+    kind = F.when(F.col("l_returnflag") == "A", "audio").otherwise("other")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"))
+    return with_default(lines, ["l_orderkey"], "kind", "l_linenumber")
+
+
+def rich_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return el.rich(load(spark, sf_dir, "events"), ["user_id"], "value", 0.0, 512.0).select("user_id", F.round("entropy", 6).alias("entropy"))
+
+
 _ALL = (
-    part_sequence_valid, part_sequence_issue, provider_duplicates, priority_sort_rank, best_stream_election, best_stream_all_compete, best_group_candidate,
+    split_part_groups, split_part_plan, default_tracks, rich_users, part_sequence_valid, part_sequence_issue, provider_duplicates, priority_sort_rank, best_stream_election, best_stream_all_compete, best_group_candidate,
     stream_counts, plan_totals, first_attachment, language_groups, length_validation, nearest_metadata, highest_passing, mean_quality, entropy_by_user,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -137,8 +163,22 @@ _ELECT = """
         m AS (SELECT *, max(n) OVER (PARTITION BY p_brand) AS most FROM c),
         r AS (SELECT part.*, m.n, row_number() OVER (PARTITION BY p_brand ORDER BY {forced} {lead} p_size DESC NULLS LAST, p_retailprice DESC NULLS LAST, p_partkey) AS rk
             FROM part JOIN m USING (p_brand, p_type))
-    SELECT p_brand, p_type, p_partkey, CAST(n AS BIGINT) AS entries FROM r WHERE rk = 1"""
+    SELECT p_brand, p_type, r.p_partkey, CAST(r.n AS BIGINT) AS entries FROM r JOIN (SELECT p_brand, p_type AS won, {is_forced} AS f FROM r WHERE rk = 1) x USING (p_brand)
+    WHERE CASE WHEN f THEN {is_forced} ELSE p_type = won END"""
+_PARTS = """p AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE l_orderkey % 3 WHEN 0 THEN '/m/film' || l_orderkey || '.avi' ELSE '/m/film' || l_orderkey || '/film' || l_orderkey || '.mkv' END AS name,
+            CASE l_orderkey % 3 WHEN 0 THEN '/m/film' || l_orderkey || ' CD' || l_linenumber || '.avi' ELSE '/m/film' || l_orderkey || '/cd' || l_linenumber || '.RMVB' END AS path FROM lineitem WHERE l_orderkey % 3 < 2),
+        g AS (SELECT name, CAST(count(*) AS INTEGER) AS n, first(path ORDER BY n, path) AS first, last(path ORDER BY n, path) AS last, CASE WHEN count(*) < 2 THEN 'single'
+            WHEN min(n) = 1 AND max(n) = count(*) AND count(DISTINCT n) = count(*) THEN 'ok' ELSE 'gap' END AS issue FROM p GROUP BY 1)"""
 ORACLES = {
+    "split_part_groups": f"WITH {_PARTS} SELECT name, n, first, issue FROM g",
+    "split_part_plan": f"WITH {_PARTS} SELECT name, n, last FROM g WHERE issue = 'ok'",
+    "default_tracks": """
+        WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'audio' ELSE 'other' END AS kind FROM lineitem)
+        SELECT *, kind = 'audio' AND l_linenumber = min(CASE WHEN kind = 'audio' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS "default" FROM a""",
+    "rich_users": """
+        WITH b AS (SELECT user_id, greatest(0, least(255, CAST(floor(value / 2.0) AS INT))) AS b, count(*) AS n FROM events GROUP BY ALL),
+            p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM b)
+        SELECT user_id, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY 1 HAVING -sum(p * ln(p)) > 3.5""",
     "part_sequence_valid": """
         SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_orderkey
         HAVING count(*) >= 2 AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*)
@@ -148,8 +188,8 @@ ORACLES = {
             AND count(DISTINCT l_linenumber) = count(*) THEN 'ok' ELSE 'gap' END AS issue FROM lineitem GROUP BY l_orderkey""",
     "provider_duplicates": "SELECT md5(text) AS key, count(*) AS n, count(*) = count(DISTINCT source) AS valid FROM documents GROUP BY 1 HAVING count(*) > 1",
     "priority_sort_rank": "SELECT doc_id, CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS rank FROM documents",
-    "best_stream_election": _ELECT.format(forced="", lead="CASE WHEN n = most THEN 0 ELSE 1 END,"),
-    "best_stream_all_compete": _ELECT.format(forced="CASE WHEN p_partkey = 7 THEN 0 ELSE 1 END,", lead=""),
+    "best_stream_election": _ELECT.format(forced="", is_forced="false", lead="CASE WHEN n = most THEN 0 ELSE 1 END,"),
+    "best_stream_all_compete": _ELECT.format(forced="CASE WHEN p_partkey IN (7, 8, 9) THEN 0 ELSE 1 END,", is_forced="p_partkey IN (7, 8, 9)", lead=""),
     "best_group_candidate": """
         WITH n AS (SELECT c_nationkey, c_custkey, count(*) AS orders, CAST(coalesce(sum(nl), 0) AS BIGINT) AS lines FROM orders
             JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS nl FROM lineitem GROUP BY 1) x ON o_orderkey = l_orderkey GROUP BY ALL)

@@ -35,6 +35,7 @@ def lone_record_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of two segments by their place within the nation; places that one side alone has keep a NULL."""
     cust = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_mktsegment", "o_orderkey", "o_orderdate")
     a = cust.where("c_mktsegment = 'BUILDING'").select("c_nationkey", F.col("o_orderkey").alias("a_key"), F.col("o_orderdate").alias("a_date"))
     b = cust.where("c_mktsegment = 'MACHINERY'").select("c_nationkey", F.col("o_orderkey").alias("b_key"), F.col("o_orderdate").alias("b_date"))
@@ -42,6 +43,7 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with customers, by nation where it is unique on both sides, then in order; who is left over is unmatched."""
     sup = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
     cust = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
     return mt.two_stage(sup, cust, "k", "s_suppkey", "c_custkey")
@@ -156,12 +158,12 @@ ORACLES = {
     "lone_record_join": """SELECT s_suppkey, c_custkey FROM (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) JOIN customer ON s_nationkey = c_nationkey""",
     "positional_zip": """
         WITH c AS (SELECT c_nationkey, c_mktsegment, o_orderkey, CAST(row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS pos FROM orders JOIN customer ON o_custkey = c_custkey)
-        SELECT a.c_nationkey, a.pos, a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM c a JOIN c b ON a.c_nationkey = b.c_nationkey AND a.pos = b.pos AND a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'MACHINERY'""",
+        SELECT c_nationkey, pos, a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM (SELECT * FROM c WHERE c_mktsegment = 'BUILDING') a FULL JOIN (SELECT * FROM c WHERE c_mktsegment = 'MACHINERY') b USING (c_nationkey, pos)""",
     "two_stage_match": """
-        WITH l AS (SELECT s_suppkey, s_nationkey AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), r AS (SELECT c_custkey, c_nationkey AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 10 = 1),
+        WITH l AS (SELECT s_suppkey, s_nationkey AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), r AS (SELECT c_custkey, c_nationkey AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
             f AS (SELECT s_suppkey, c_custkey FROM l JOIN r ON l.k = r.k AND l.n = 1 AND r.n = 1),
             a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS pos FROM l WHERE s_suppkey NOT IN (SELECT s_suppkey FROM f)), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS pos FROM r WHERE c_custkey NOT IN (SELECT c_custkey FROM f))
-        SELECT s_suppkey, c_custkey, 'key' AS stage FROM f UNION ALL SELECT s_suppkey, c_custkey, 'order' FROM a JOIN b USING (pos)""",
+        SELECT s_suppkey, c_custkey, 'key' AS stage FROM f UNION ALL SELECT s_suppkey, c_custkey, CASE WHEN s_suppkey IS NULL OR c_custkey IS NULL THEN 'unmatched' ELSE 'order' END FROM a FULL JOIN b USING (pos)""",
     "unlabelled_documents": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "used_only": "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "overrun_filter": """SELECT l_orderkey, count(*) AS n, CAST(max(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS INTEGER) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -172,7 +174,7 @@ ORACLES = {
     "metadata_coalesce": """
         WITH o AS (SELECT TRY_CAST(regexp_extract(url, '/([a-z][a-z])/([0-9]+)', 2) AS BIGINT) AS doc_id, min(regexp_extract(url, '/([a-z][a-z])/', 1)) AS o FROM pages GROUP BY 1)
         SELECT doc_id, coalesce(o, nullif(lang, 'en')) AS lang FROM documents LEFT JOIN o USING (doc_id)""",
-    "hash_nearest": f"WITH {_H.format(where='a.label = 0 AND c.label = 1')} SELECT vec_id, distance, other FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) = 1",
+    "hash_nearest": f"WITH {_H.format(where='a.vec_id <> c.vec_id')} SELECT vec_id, distance, other FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) = 1",
     "hash_within": f"WITH {_H.format(where='a.vec_id < c.vec_id')} SELECT vec_id, other, distance FROM d WHERE distance <= 16",
     "asof_nearest": """SELECT b.event_id, b.user_id, max(v.event_id) AS view_id FROM events b JOIN events v ON b.user_id = v.user_id AND v.ts < b.ts AND v.event_type = 'view' AND b.event_type = 'purchase'
         WHERE v.ts = (SELECT max(ts) FROM events w WHERE w.user_id = b.user_id AND w.ts < b.ts AND w.event_type = 'view') GROUP BY ALL""",

@@ -53,7 +53,19 @@ def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def island_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.complement(event_islands(spark, sf_dir), ["user_id"], "start_ms", "end_ms")
+    """Times of each user farther than half an hour from any purchase, within the time of the table."""
+    half = 30 * 60 * 1000
+    ev = _events(spark, sf_dir)
+    isles = iv.merged(ev.where("event_type = 'purchase'").select("user_id", (F.col("ms") - half).alias("a"), (F.col("ms") + half).alias("b")), ["user_id"], "a", "b")
+    bounds = ev.select("user_id").distinct().crossJoin(F.broadcast(ev.agg(F.min("ms").alias("low"), F.max("ms").alias("high"))))
+    return iv.complement(isles, ["user_id"], "a", "b", bounds=bounds)
+
+
+def frame_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of ids within five of each user's purchases, from 0 to the user's last id; the full range without purchases."""
+    ev = load(spark, sf_dir, "events")
+    bounds = ev.groupBy("user_id").agg(F.lit(0).cast("bigint").alias("low"), F.max("event_id").alias("high"))
+    return iv.ranges_around(ev.where("event_type = 'purchase'"), bounds, ["user_id"], "event_id", 5)
 
 
 def integer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +223,7 @@ def extrapolated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    gap_deficits, ratio_median, mad_filter, adaptive_cutoff, pair_statistics, segment_statistics, event_islands, island_complement, integer_ranges, clipped_windows,
+    gap_deficits, ratio_median, mad_filter, adaptive_cutoff, pair_statistics, segment_statistics, event_islands, island_complement, frame_ranges, integer_ranges, clipped_windows,
     even_segments, edge_coverage, constant_offset, grid_shift, linear_relation, linear_mapping, dark_zones, history_check, edge_snap, interpolated,
     rogue_removal, strict_mapping, ransac_inliers, boundary_walk, short_segments, global_relation, extrapolated_pairs,
 )
@@ -238,8 +250,15 @@ ORACLES = {
     "segment_statistics": f"""WITH {_S} SELECT user_id, count(*) AS n, round(avg(dl / dr), 4) AS mean, round(median(dl / dr), 4) AS median, round(min(dl / dr), 4) AS low, round(max(dl / dr), 4) AS high,
         coalesce(2.0 / nullif(least(min(dl), min(dr)), 0) > 0.1, true) AS low_accuracy FROM s WHERE dr > 0 GROUP BY 1""",
     "event_islands": f"WITH {_I} SELECT * FROM m",
-    "island_complement": f"""WITH {_I}, c AS (SELECT user_id, lag(end_ms) OVER (PARTITION BY user_id ORDER BY start_ms) + 1 AS gap_start, start_ms - 1 AS gap_end FROM m)
+    "island_complement": f"""WITH {_I.replace("FROM e)", "FROM e WHERE event_type = 'purchase')")}, t AS (SELECT min(ms) AS lo, max(ms) AS hi FROM e),
+            c AS (SELECT user_id, lag(end_ms) OVER (PARTITION BY user_id ORDER BY start_ms) + 1 AS gap_start, start_ms - 1 AS gap_end FROM m
+                UNION ALL SELECT u.user_id, lo, coalesce(min(start_ms) - 1, hi) FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN t LEFT JOIN m USING (user_id) GROUP BY u.user_id, lo, hi
+                UNION ALL SELECT user_id, max(end_ms) + 1, hi FROM m, t GROUP BY user_id, hi)
         SELECT * FROM c WHERE gap_start <= gap_end""",
+    "frame_ranges": """WITH u AS (SELECT user_id, max(event_id) AS hi, bool_or(event_type = 'purchase') AS any_p FROM events GROUP BY 1),
+            n AS (SELECT DISTINCT user_id, unnest(range(greatest(0, event_id - 5), least(hi, event_id + 5) + 1)) AS n FROM events JOIN u USING (user_id) WHERE event_type = 'purchase'),
+            g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS grp FROM n)
+        SELECT user_id, min(n) AS first, max(n) AS last FROM g GROUP BY user_id, grp UNION ALL SELECT user_id, 0, hi FROM u WHERE NOT any_p""",
     "integer_ranges": """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), g AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS grp FROM d)
         SELECT l_orderkey, min(n) AS first, max(n) AS last FROM g GROUP BY l_orderkey, grp""",
     "clipped_windows": """WITH w AS (SELECT event_id, greatest(0, event_id - 500) AS a, event_id + 500 AS b FROM events)

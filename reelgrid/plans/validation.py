@@ -19,8 +19,8 @@ def subtitle_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supported_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, ("video", "audio", "subtitle", "attachment", "attachment", "video", "button"))), F.col("l_linenumber").cast("int"))
-    lines = load(spark, sf_dir, "lineitem").where("l_linenumber <= 7").select("l_orderkey", kind.alias("kind"), F.when(F.col("l_returnflag") == "A", "font/ttf").otherwise("image/png").alias("detail"))
+    kind = F.coalesce(F.get(F.array(*map(F.lit, ("video", "audio", "subtitle", "attachment", "attachment", "video"))), F.col("l_linenumber").cast("int") - 1), F.lit("button"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("kind"), F.when(F.col("l_returnflag") == "A", "font/ttf").otherwise("image/png").alias("detail"))
     return va.supported(lines, "l_orderkey", "kind", "detail")
 
 
@@ -50,8 +50,8 @@ def poor_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest end over the selected lines of each order."""
-    lines = load(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2)")
+    """Latest end over the lines of each order."""
+    lines = load(spark, sf_dir, "lineitem")
     return lines.groupBy("l_orderkey").agg(F.max(F.col("l_quantity") + F.coalesce(F.nullif("l_tax", F.lit(0.0)), F.lit(0.0))).alias("end_at"))
 
 
@@ -80,8 +80,8 @@ ORACLES = {
             g AS (SELECT *, bool_or(e = 'idx') OVER w AS hi, bool_or(e = 'sub') OVER w AS hs FROM f WINDOW w AS (PARTITION BY p_brand, lower(p_name)))
         SELECT p_partkey, CASE WHEN e = 'srt' THEN 'text' WHEN e = 'sub' AND hi THEN 'companion' WHEN e = 'idx' AND hs THEN 'index' WHEN fmt = 'microdvd' THEN 'probed' WHEN e = 'sub' AND fmt IS NULL THEN 'guessed' END AS kind FROM g""",
     "supported_elements": """
-        SELECT l_orderkey, CASE WHEN max(l_linenumber) = 7 THEN 'track' WHEN bool_or(l_linenumber IN (4, 5) AND l_returnflag = 'A') THEN 'attachment'
-            WHEN count(*) FILTER (l_linenumber IN (4, 5) AND l_returnflag <> 'A') > 1 THEN 'thumbnails' END AS issue FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1""",
+        SELECT l_orderkey, CASE WHEN max(l_linenumber) >= 7 THEN 'track' WHEN bool_or(l_linenumber IN (4, 5) AND l_returnflag = 'A') THEN 'attachment'
+            WHEN count(*) FILTER (l_linenumber IN (4, 5) AND l_returnflag <> 'A') > 1 THEN 'thumbnails' END AS issue FROM lineitem GROUP BY 1""",
     "output_aliases": "SELECT o_orderkey AS key FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09::DOUBLE)",
     "primary_record": "SELECT p_brand, p_type, p_partkey FROM part WHERE p_retailprice > 905 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) = 1",
     "same_series": """
@@ -94,14 +94,14 @@ ORACLES = {
     "poor_stretch": """
         WITH x AS (SELECT user_id, CASE WHEN value > 60 THEN 1 ELSE 0 END AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT *, min(CASE WHEN r = 0 THEN i END) OVER (PARTITION BY user_id) AS f FROM x)
         SELECT user_id, coalesce(min(f) - 1 <= 3 AND avg(r) FILTER (i >= f) <= 0.4, false) AS poor FROM f GROUP BY 1""",
-    "output_end": "SELECT l_orderkey, max(l_quantity + l_tax) AS end_at FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1",
+    "output_end": "SELECT l_orderkey, max(l_quantity + l_tax) AS end_at FROM lineitem GROUP BY 1",
     "scene_windows": """
         WITH i AS (SELECT user_id, greatest(0, event_id - 20) AS a, event_id + 20 AS b FROM events WHERE event_type = 'purchase'),
             f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM i), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isle FROM f)
         SELECT user_id, min(a) AS a, max(b) AS b FROM g GROUP BY user_id, isle""",
     "best_neighbour": """
-        WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE label < 2),
-            d AS (SELECT g.at AS l_at, x.at AS l, y.at AS r, CAST(list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
-                FROM v g, v x, v y WHERE g.label = 0 AND x.label = 0 AND y.label = 1 AND abs(x.at - g.at) <= 1 AND abs(y.at - g.at) <= 1)
-        SELECT CAST(l_at AS INTEGER) AS l_at, distance, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r FROM d QUALIFY row_number() OVER (PARTITION BY l_at ORDER BY distance, l, r) = 1""",
+        WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+            d AS (SELECT g.label, g.at AS l_at, x.at AS l, y.at AS r, CAST(list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+                FROM v g, v x, v y WHERE x.label = g.label AND y.label = g.label + 1 AND abs(x.at - g.at) <= 1 AND abs(y.at - g.at) <= 1)
+        SELECT label, CAST(l_at AS INTEGER) AS l_at, distance, CAST(l AS INTEGER) AS l, CAST(r AS INTEGER) AS r FROM d QUALIFY row_number() OVER (PARTITION BY label, l_at ORDER BY distance, l, r) = 1""",
 }

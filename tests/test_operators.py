@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import scalars as sc
 from reelgrid.operators import election as el
+from reelgrid.operators import grouping as gr
 from reelgrid.operators import intervals as iv
 from reelgrid.operators import matching as mt
 from reelgrid.operators import timeline as tl
@@ -167,8 +168,52 @@ def test_islands_and_gaps(spark, parts, reach):
 
 def test_forced_rows_win(spark):
     rows = spark.createDataFrame([("k", "a", 1, 5, False), ("k", "a", 2, 6, False), ("k", "b", 3, 1, True)], "k string, src string, id int, q int, f boolean")
-    assert el.elected(rows, ["k"], "src", [F.col("q")], F.col("id")).first().id == 2
-    assert el.elected(rows, ["k"], "src", [F.col("q")], F.col("id"), F.col("f")).first().id == 3
+    assert sorted(r.id for r in el.elected(rows, ["k"], "src", [F.col("q")], F.col("id")).collect()) == [1, 2]
+    assert [r.id for r in el.elected(rows, ["k"], "src", [F.col("q")], F.col("id"), F.col("f")).collect()] == [3]
+
+
+@pytest.mark.parametrize(
+    "isles,want",
+    [([(10, 20), (30, 40)], [(0, 9), (21, 29), (41, 50)]), ([], [(0, 50)]), ([(0, 50)], []), ([(-5, 3), (48, 99)], [(4, 47)])],
+)
+def test_complement_reaches_the_bounds(spark, isles, want):
+    rows = spark.createDataFrame([("k", a, b) for a, b in isles], "k string, a bigint, b bigint")
+    bounds = spark.createDataFrame([("k", 0, 50)], "k string, low bigint, high bigint")
+    assert sorted((r.gap_start, r.gap_end) for r in iv.complement(rows, ["k"], "a", "b", bounds=bounds).collect()) == want
+
+
+def test_ranges_around_points(spark):
+    bounds = spark.createDataFrame([("k", 0, 30), ("none", 0, 7)], "k string, low bigint, high bigint")
+    points = spark.createDataFrame([("k", 2), ("k", 13), ("k", 29)], "k string, at bigint")
+    assert sorted(tuple(r) for r in iv.ranges_around(points, bounds, ["k"], "at", 5).collect()) == [("k", 0, 18), ("k", 24, 30), ("none", 0, 7)]
+
+
+@pytest.mark.parametrize(
+    "path,want",
+    [
+        ("/m/film CD1.avi", ("/m/film.avi", 1)), ("/m/film/cd12.mp4", ("/m/film/film.mp4", 12)), ("/m/film-cd2.RMVB", ("/m/film.mkv", 2)), ("/m/filmcd1.avi", None),
+        ("/m/film cd.avi", None), ("/m/a cd1 b cd2.avi", ("/m/a cd1 b.avi", 2)),
+    ],
+)
+def test_split_part(spark, path, want):
+    got = value(spark, sc.split_part(F.lit(path)))
+    assert (tuple(got) if got else None) == want
+
+
+def test_split_plan_fails_as_a_whole(spark):
+    paths = ["/m/a cd1.avi", "/m/a cd2.avi", "/m/b cd1.avi", "/m/b cd3.avi", "/m/c.avi"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert gr.split_plan(rows, "path").count() == 0
+    assert [r.name for r in gr.split_plan(rows, "path", True).collect()] == ["/m/a.avi"]
+    assert [[x.part for x in r.parts] for r in gr.split_plan(rows.where("path like '/m/a%'"), "path").collect()] == [[1, 2]]
+    assert gr.split_plan(rows.where("false"), "path").count() == 0
+
+
+def test_unknown_codes_can_be_errors(spark):
+    assert value(spark, sc.unify_language(F.lit("und"), strict=True)) is None
+    assert value(spark, sc.unify_language(F.lit("fin"), strict=True)) == "fin"
+    with pytest.raises(Exception, match="unknown language code"):
+        value(spark, sc.unify_language(F.lit("qq"), strict=True))
 
 
 def test_subtitle_texts(spark):
