@@ -106,7 +106,9 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     p = params
     rows = pick(docs, lang="lang:string", text="text").where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    shares = counts.withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).withColumn("share", F.col("n") / F.col("all"))
+    # one row a language, fewer than the model that is broadcast below; the counts' exchange is read twice, not made twice
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("all"))
     top = F.max("share").over(Window.partitionBy("gram"))
     kept = shares.where(F.col("share") >= p.share).withColumn("top", top).where(F.col("share") >= p.margin * F.col("top"))
     by: dict[str, list[int]] = {}
