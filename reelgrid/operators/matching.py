@@ -161,6 +161,32 @@ def greedy_pairs(pairs: DataFrame, lid: str, rid: str, distance: str) -> DataFra
     return left if out is None else out
 
 
+def nearest_three(rows: DataFrame, keys: DataFrame, key: list[str], rid: str, at: str, key_at: str) -> DataFrame:
+    """Each row (rid) of a group with the up to three rows of ``keys`` nearest to its ``at``, the earlier one on a tie.
+
+    The keys are numbered; a row learns how many stand before it and joins
+    the three on either side by their numbers.
+    """
+    k = keys.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(key_at)).cast("bigint"))
+    both = rows.select(*key, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*rows.columns).alias("_row"))
+    both = both.union(keys.select(*key, F.col(key_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row")))
+    n = F.sum(1 - F.col("_side")).over(Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_n", n).where("_side = 1").select("_row.*", F.explode(F.sequence(F.col("_n") - 2, F.col("_n") + 3)).alias("_r"))
+    rank = F.row_number().over(Window.partitionBy(*key, rid).orderBy(F.abs(F.col(key_at) - F.col(at)), key_at))
+    return near.join(k, [*key, "_r"]).withColumn("_k", rank).where("_k <= 3").drop("_k", "_r")
+
+
+def predicted_match(rows: DataFrame, keys: DataFrame, key: list[str], rid: str, at: str, key_at: str, distance: Column, most: float) -> DataFrame:
+    """The pair of least ``distance`` of each row with the three keys nearest to its predicted place ``at``, if at most ``most``; ties to the earlier key.
+
+    Predictions beyond the keys fall on the first or last three of them,
+    so no clamp is needed.
+    """
+    tried = nearest_three(rows, keys, key, rid, at, key_at).withColumn("_d", distance)
+    best = tried.groupBy(*key, rid).agg(F.min(F.struct(F.col("_d").alias("distance"), key_at)).alias("_b"))
+    return best.select(*key, rid, F.col("_b.distance").alias("distance"), F.col(f"_b.{key_at}").alias(key_at)).where(F.col("distance") <= most)
+
+
 def latest_before(rows: DataFrame, facts: DataFrame, key: list[str], at: str, fact_at: str, fact: str) -> DataFrame:
     """Each row with the last fact of its key strictly before it: one sort over both sides, no product."""
     a = rows.select(*key, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.struct(*[F.col(c) for c in rows.columns]).alias("_row"), F.lit(None).cast(facts.schema[fact].dataType).alias("_fact"), F.lit(None).cast(facts.schema[fact_at].dataType).alias("_ft"))

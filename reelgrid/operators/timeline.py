@@ -97,6 +97,22 @@ def segment_stats(pairs: DataFrame, key: list[str], lhs: str, rhs: str, step: fl
 # Walks in which each step depends on the ones before: one group a call, Arrow batches.
 
 
+def history_ok(left: Column, right: Column, cutoff: float, least: int = 3) -> Column:
+    """Whether one of the values before on the left is within ``cutoff`` of one on the right.
+
+    With fewer than ``least`` values on both sides there is nothing to ask;
+    fewer on one side alone is an error of the input and gives NULL.
+    """
+    short_l, short_r = F.size(left) < least, F.size(right) < least
+    seen = F.exists(left, lambda x: F.exists(right, lambda y: F.abs(x - y) <= cutoff))
+    return F.when(short_l & short_r, True).when(~short_l & ~short_r, seen)
+
+
+def look_ahead(fps: Column) -> Column:
+    """Samples that must be dark for a zone to count: one and a half seconds, three at least."""
+    return F.greatest(F.lit(3), (fps * 1.5).cast("int"))
+
+
 def drop_rogues(l: np.ndarray, r: np.ndarray, floor: float = 2000.0, share: float = 0.02) -> np.ndarray:
     """Mask of the pairs that stay: a point between two flagged gaps of opposite sign that cancel is dropped, until none is left."""
     keep = np.arange(len(l))

@@ -116,6 +116,17 @@ def nearest_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", "nearest")
 
 
+def predicted_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with the view of like value among the three nearest to where the user's first click and view, at equal pace, put it."""
+    ev = load(spark, sf_dir, "events")
+    clicks, views = (ev.where(F.col("event_type") == t) for t in ("click", "view"))
+    first = clicks.groupBy("user_id").agg(F.min("event_id").alias("c0")).join(views.groupBy("user_id").agg(F.min("event_id").alias("v0")), "user_id")
+    rows = clicks.join(first, "user_id").select("user_id", "event_id", F.col("value").alias("lv"), (F.col("v0") + F.col("event_id") - F.col("c0")).alias("at"))
+    keys = views.select("user_id", F.col("event_id").alias("view_id"), F.col("value").alias("rv"))
+    got = mt.predicted_match(rows, keys, ["user_id"], "event_id", "at", "view_id", F.round(F.abs(F.col("lv") - F.col("rv")), 6), 20.0)
+    return got.select("event_id", "view_id", "distance")
+
+
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events")
     return ev.select("user_id", "event_type").distinct().exceptAll(ev.where("value > 200").select("user_id", "event_type").distinct())
@@ -142,7 +153,7 @@ def language_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     prefix_match_longest, prefix_leftovers, lone_record_join, positional_zip, two_stage_match, unlabelled_documents, used_only, overrun_filter, resolver_case, metadata_coalesce,
-    hash_nearest, hash_within, greedy_pairs, asof_nearest, nearest_key, set_difference, set_union, bijection_check, language_overrides,
+    hash_nearest, hash_within, greedy_pairs, asof_nearest, nearest_key, predicted_views, set_difference, set_union, bijection_check, language_overrides,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -179,6 +190,11 @@ ORACLES = {
     "asof_nearest": """SELECT b.event_id, b.user_id, max(v.event_id) AS view_id FROM events b JOIN events v ON b.user_id = v.user_id AND v.ts < b.ts AND v.event_type = 'view' AND b.event_type = 'purchase'
         WHERE v.ts = (SELECT max(ts) FROM events w WHERE w.user_id = b.user_id AND w.ts < b.ts AND w.event_type = 'view') GROUP BY ALL""",
     "nearest_key": """SELECT c.event_id, (SELECT first(v.event_id ORDER BY abs(v.event_id - c.event_id), v.event_id) FROM events v WHERE v.user_id = c.user_id AND v.event_type = 'view') AS nearest FROM events c WHERE event_type = 'click'""",
+    "predicted_views": """
+        WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'click') AS c0, min(event_id) FILTER (event_type = 'view') AS v0 FROM events GROUP BY 1),
+            n AS (SELECT c.event_id, v.event_id AS view_id, round(abs(c.value - v.value), 6) AS distance, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(v.event_id - (v0 + c.event_id - c0)), v.event_id) AS k
+                FROM events c JOIN f USING (user_id) JOIN events v ON c.user_id = v.user_id WHERE c.event_type = 'click' AND v.event_type = 'view')
+        SELECT event_id, view_id, distance FROM n WHERE k <= 3 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY distance, view_id) = 1 AND distance <= 20""",
     "set_difference": "SELECT DISTINCT user_id, event_type FROM events EXCEPT SELECT user_id, event_type FROM events WHERE value > 200",
     "set_union": "SELECT c_nationkey AS nationkey, NULL::VARCHAR AS name FROM customer UNION SELECT s_nationkey, s_name FROM supplier",
     "bijection_check": "SELECT doc_id, 'documents' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'labels' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",

@@ -125,13 +125,12 @@ def dark_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether one of the three events before lies within a cutoff of this one; without history: yes."""
+    """Whether one of the user's three events before lies within a cutoff of one of the three before of the same type."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, -1)
-    past = F.collect_list("value").over(w)
-    ok = (F.size(past) == 0) | F.exists(past, lambda x: F.abs(x - F.col("value")) <= 16)
-    return load(spark, sf_dir, "events").select("event_id", ok.alias("seen"))
+    past = [F.collect_list("value").over(Window.partitionBy(*by).orderBy("event_id").rowsBetween(-3, -1)) for by in (["user_id"], ["user_id", "event_type"])]
+    rows = load(spark, sf_dir, "events").select("event_id", past[0].alias("l"), past[1].alias("r"))
+    return rows.select("event_id", tl.history_ok(F.col("l"), F.col("r"), 2.0).alias("seen"))
 
 
 def edge_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,8 +281,10 @@ ORACLES = {
             k AS (SELECT *, (r1 - r0) / nullif(l1 - l0, 0) AS slope FROM f), w AS (SELECT user_id, any_value(slope) AS slope, max(abs(event_id - (r0 + slope * (ms - l0)))) AS worst FROM e JOIN k USING (user_id) GROUP BY 1)
         SELECT user_id, round(CASE WHEN slope > 0 AND worst <= 300 THEN slope END * 1e6, 6) AS slope, round(worst, 4) AS worst FROM w""",
     "dark_zones": "SELECT event_id, coalesce(max(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) = 0 AS dark FROM events",
-    "history_check": """WITH h AS (SELECT event_id, value, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b, lag(value, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-        SELECT event_id, a IS NULL OR coalesce(abs(a - value) <= 16, false) OR coalesce(abs(b - value) <= 16, false) OR coalesce(abs(c - value) <= 16, false) AS seen FROM h""",
+    "history_check": """WITH h AS (SELECT event_id, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b, lag(value, 3) OVER w AS c, lag(value, 1) OVER v AS x, lag(value, 2) OVER v AS y, lag(value, 3) OVER v AS z
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id), v AS (PARTITION BY user_id, event_type ORDER BY event_id))
+        SELECT event_id, CASE WHEN c IS NULL AND z IS NULL THEN true WHEN c IS NOT NULL AND z IS NOT NULL
+            THEN least(abs(a - x), abs(a - y), abs(a - z), abs(b - x), abs(b - y), abs(b - z), abs(c - x), abs(c - y), abs(c - z)) <= 2 END AS seen FROM h""",
     "edge_snap": """WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events), g AS (SELECT user_id, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY 1)
         SELECT user_id, CASE WHEN g.a - lo <= 60 THEN lo ELSE g.a END AS first_id, CASE WHEN hi - g.b <= 60 THEN hi ELSE g.b END AS last_id FROM g, b""",
     "interpolated": """WITH k AS (SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER p AS li, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER p AS lv,
