@@ -51,6 +51,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
+def bucketed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The same rows from a table in the shared folder that is bucketed by ``key``: joins on it don't shuffle it.
+
+    rows: about how many there are; some 2^18 go into a bucket.
+    """
+    spark = df.sparkSession
+    name = f"reelgrid_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows >> 18))
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    STORED.append(path)
+    atexit.register(drop, spark, path)
+    return spark.table(name)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # the session has ended
         shutil.rmtree(path, ignore_errors=True)
@@ -60,7 +80,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def release(df: DataFrame) -> None:
-    """Deletes a stored table that nothing reads any more."""
+    """Deletes a stored table that nothing reads any more; of a bucketed one the name stays in the session's catalogue."""
     for path in {f.rsplit("/", 1)[0].removeprefix("file://") for f in df.inputFiles()}:
         if path in STORED:
             STORED.remove(path)

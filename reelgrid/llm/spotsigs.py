@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm import textkernel as tk
-from reelgrid.llm.base import pick, release, stored
+from reelgrid.llm.base import bucketed, pick, release, stored
 from reelgrid.llm.components import grouped, joined, linked, rare_members, shared_buckets, torn
 
 _U = np.uint64
@@ -221,7 +221,7 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     release(prints)
     listed = nodes.select("id", "sigs").mapInArrow(_lister(p), "part int, sig bigint, id bigint")
     buckets = shared_buckets(listed.select((F.shiftleft(F.col("part").cast("bigint"), 48) + F.col("sig")).alias("bucket"), "id"))
-    known = stored(nodes.select("id", "sigs", *WORDS).join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"))
+    known = bucketed(nodes.select("id", "sigs", *WORDS).join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), "id", nodes.count())
     release(nodes)
     length = (F.length("sigs") / 6).cast("int")
     tau = p.threshold
