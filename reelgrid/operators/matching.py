@@ -147,7 +147,8 @@ def greedy_pairs(pairs: DataFrame, lid: str, rid: str, distance: str) -> DataFra
 
     Each round takes the pairs that are best for both ends, which is what
     greedy would take, since the order has no ties; rounds go on until no
-    pair is left.  Each round is checkpointed.
+    pair is left.  Each round is checkpointed.  For pairs that are given; where
+    all of two sides count, ``greedy_hashes`` makes no rows of them.
     """
     left = checkpointed(pairs.select(lid, rid, distance))
     out = None
@@ -161,6 +162,116 @@ def greedy_pairs(pairs: DataFrame, lid: str, rid: str, distance: str) -> DataFra
     return left if out is None else out
 
 
+def _sides(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and hashes of side 0 and of side 1, in order of ids."""
+    side, ids, h = (rows.column(c).to_numpy() for c in ("side", "id", "h"))
+    parts = [np.flatnonzero(side == k) for k in (0, 1)]
+    return [(ids[x], h[x].view(np.uint64)) for x in (p[np.argsort(ids[p], kind="stable")] for p in parts)]
+
+
+def _best_of_block(key: tuple, rows: pa.Table) -> pa.Table:
+    """The nearest row of the other side for each row of both sides, ties to the least id; strips bound the memory."""
+    sides = _sides(rows)
+    out = [[np.zeros(0, dtype=t)] for t in (np.int32, np.int64, np.int64, np.int32, np.int64)]
+    for k in (0, 1):
+        (ids, h), (others, g) = sides[k], sides[1 - k]
+        for at in range(0, len(ids) if len(others) else 0, 64):
+            x = h[at : at + 64]
+            d = np.bitwise_count(x[:, None] ^ g[None, :])
+            best = d.argmin(axis=1)
+            for c, v in zip(out, (np.full(len(x), k), ids[at : at + 64], x.view(np.int64), d[np.arange(len(x)), best], others[best]), strict=True):
+                c.append(v.astype(c[0].dtype))
+    return pa.table([pa.array(np.concatenate(c)) for c in out], names=["side", "id", "h", "distance", "other"])
+
+
+def _least(d: np.ndarray, owner: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances folded so that each owner (a sorted array) has one place, and these owners."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return (d, owner) if len(first) == len(owner) else (np.minimum.reduceat(d, first, axis=axis), owner[first])
+
+
+def _greedy_of_rows(key: tuple, rows: pa.Table) -> pa.Table:
+    """Greedy assignment over all rows in (distance, left, right) order, in memory that is linear in the rows.
+
+    Each left id has a lower bound of its distance to what is free.  At
+    distance d those with the bound d look, by rising id, for their least free
+    right at d; who finds none takes the least distance seen as its bound.
+    So an id is compared with the free rights once a distance, whatever ties
+    there are; where an equal hash found none before it, it takes that one's bound.
+    """
+    (ids, h), (others, g) = _sides(rows)
+    names, own = np.unique(ids, return_inverse=True)
+    bound = np.zeros(len(names), dtype=np.uint8)
+    kinds, kind = np.unique(h, return_inverse=True)
+    lone = np.bincount(own, minlength=len(names))[own] == 1
+    out: list[tuple[int, int, int]] = []
+    for d in range(65):
+        todo = np.flatnonzero(bound[own] == d)
+        found = np.zeros(len(kinds), dtype=np.uint8)
+        at = 0
+        while at < len(todo) and len(g):
+            end = min(at + max(1, min(256, (1 << 19) // len(g))), len(todo))
+            end = int(np.searchsorted(own[todo], own[todo[end - 1]], "right"))
+            strip, at = todo[at:end], end
+            known = lone[strip] & (found[kind[strip]] > 0)
+            bound[own[strip[known]]] = found[kind[strip[known]]]
+            strip = strip[~known]
+            if not len(strip):
+                continue
+            x, left = _least(np.bitwise_count(h[strip][:, None] ^ g[None, :]), own[strip], 0)
+            x, right = _least(x, others, 1)
+            took = []
+            for k, i in enumerate(left):
+                j = x[k].argmin()
+                bound[i] = x[k, j]
+                if bound[i] == d:
+                    out.append((names[i], right[j], d))
+                    took.append(right[j])
+                    x[:, j] = bound[i] = 255
+            if took:
+                free = ~np.isin(others, took)
+                others, g = others[free], g[free]
+            strip = strip[lone[strip] & (bound[own[strip]] < 255)]
+            found[kind[strip]] = bound[own[strip]]
+    cols = zip(*out, strict=True) if out else ([], [], [])
+    return pa.table([pa.array(np.array(c, dtype=t)) for c, t in zip(cols, (np.int64, np.int64, np.int32), strict=True)], names=["id", "other", "distance"])
+
+
+def greedy_hashes(left: DataFrame, right: DataFrame, lid: str, rid: str, lh: str, rh: str, block: int = 8192, alone: int = 1 << 26) -> DataFrame:
+    """``greedy_pairs`` over all pairs of two sides by Hamming distance; no pair becomes a row.
+
+    A round finds the nearest of every row on both sides, in products of
+    blocks of some ``block`` rows, takes the pairs that are best for both ends
+    and is checkpointed.  When no more than ``alone`` pairs are left, or when
+    ties let a round take less than a sixteenth of the smaller side, one task
+    does the rest; it holds the rows left, not their pairs.  Rows without an
+    id or a hash have no partner; an id with several hashes counts with the nearest.
+    """
+    rows = [x.select(F.lit(k).alias("side"), F.col(i).cast("bigint").alias("id"), F.col(h).alias("h")) for k, (x, i, h) in enumerate(((left, lid, lh), (right, rid, rh)))]
+    rest = checkpointed(rows[0].union(rows[1]).where("id is not null and h is not null").groupBy("side", "id").agg(F.collect_set("h").alias("hs")))
+    n = dict(rest.groupBy("side").agg(F.sum(F.size("hs"))).collect())
+    n, took, out = [n.get(k, 0) for k in (0, 1)], max(n.values(), default=0), []
+    every = rest.select("side", "id", F.explode("hs").alias("h"))
+    while n[0] * n[1] > alone and took * 16 >= min(n):
+        parts = [-(-k // block) for k in n]
+        sent = []
+        for k in (0, 1):
+            own, other = F.pmod(F.xxhash64("id"), F.lit(parts[k])).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts[1 - k] - 1)))
+            sent.append(every.where(F.col("side") == k).select("side", "id", "h", own.alias("ij"[k]), other.alias("ij"[1 - k])))
+        found = sent[0].unionByName(sent[1]).groupBy("i", "j").applyInArrow(_best_of_block, "side int, id bigint, h bigint, distance int, other bigint")
+        best = found.groupBy("side", "id").agg(F.min(F.struct("distance", "other")).alias("x"), F.collect_set("h").alias("hs"))
+        ends = [F.when(F.col("side") == k, F.col("id")).otherwise(F.col("x.other")) for k in (0, 1)]
+        seen = checkpointed(best.select("side", "id", "hs", "x.distance", "x.other", (F.count("*").over(Window.partitionBy(*ends)) == 2).alias("both")))
+        size = F.when(~F.col("both"), F.size("hs"))
+        *n, took = seen.agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, size)), F.lit(0)) for k in (0, 1)], F.count(F.when(F.col("both") & (F.col("side") == 0), 1))).first()
+        out.append(seen.where("both and side = 0").select("id", "other", "distance"))
+        every = seen.where(~F.col("both")).select("side", "id", F.explode("hs").alias("h"))
+    last = every.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_greedy_of_rows, "id bigint, other bigint, distance int")
+    for x in out:
+        last = last.union(x)
+    return last.select(F.col("id").alias(lid), F.col("other").alias(rid), "distance")
+
+
 def nearest_three(rows: DataFrame, keys: DataFrame, key: list[str], rid: str, at: str, key_at: str) -> DataFrame:
     """Each row (rid) of a group with the up to three rows of ``keys`` nearest to its ``at``, the earlier one on a tie.
 

@@ -96,10 +96,11 @@ def hash_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one assignment of the vectors of label 0 to those of label 1, in order of (distance of sign hashes, vec_id, other)."""
     v = load(spark, sf_dir, "embeddings").select("vec_id", "label", *[h.alias("h") for h in mt.sign_hash(F.col("embedding"))])
     a = v.where("label = 0").select("vec_id", "h")
     b = v.where("label = 1").select(F.col("vec_id").alias("other"), F.col("h").alias("g"))
-    return mt.greedy_pairs(mt.distance_pairs(a, b, "vec_id", "other", "h", "g"), "vec_id", "other", "distance")
+    return mt.greedy_hashes(a, b, "vec_id", "other", "h", "g")
 
 
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,6 +144,54 @@ def test_greedy_assignment(spark, hashes):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize(("block", "alone"), [(8, 0), (16, 500), (8192, 1 << 26)])
+@pytest.mark.parametrize("bits", [1, 4, 62])
+def test_greedy_hashes_are_greedy(spark, block, alone, bits):
+    """Few bits make many ties; ids occur twice, and some have no hash."""
+    rng = np.random.default_rng(bits)
+    sides = [[(int(i), int(h)) for i, h in zip(rng.integers(0, 2 * n, n), rng.integers(-(2**bits), 2**bits, n), strict=True)] for n in (50, 37)]
+    a = spark.createDataFrame([*sides[0], (900, None), (None, 3)], "l bigint, lh bigint")
+    b = spark.createDataFrame([*sides[1], (901, None), (None, 3)], "r bigint, rh bigint")
+    got = sorted(tuple(r) for r in mt.greedy_hashes(a, b, "l", "r", "lh", "rh", block, alone).collect())
+    left, right, want = set(), set(), []
+    for d, x, y in sorted((((g ^ h) % 2**64).bit_count(), x, y) for x, g in sides[0] for y, h in sides[1]):
+        if x not in left and y not in right:
+            left.add(x), right.add(y), want.append((x, y, d))
+    assert got == sorted(want)
+    empty = a.where("false")
+    assert mt.greedy_hashes(empty, b, "l", "r", "lh", "rh", block, alone).count() == 0
+    assert mt.greedy_hashes(a, b.where("false"), "l", "r", "lh", "rh", block, alone).count() == 0
+
+
+@pytest.mark.parametrize("kinds", [2, 60])
+def test_greedy_of_rows_over_several_strips(kinds):
+    rng = np.random.default_rng(kinds)
+    h = rng.choice(rng.integers(-(2**62), 2**62, kinds), 1100)
+    left, right = [(i, int(x)) for i, x in enumerate(h[:700])], [(i, int(x)) for i, x in enumerate(h[700:])]
+    rows = pa.table({"side": pa.array([0] * 700 + [1] * 400, pa.int32()), "id": [i for i, _ in left + right], "h": pa.array(h)})
+    used, taken, want = set(), set(), []
+    for d, x, y in sorted((((g ^ k) % 2**64).bit_count(), x, y) for x, g in left for y, k in right):
+        if x not in used and y not in taken:
+            used.add(x), taken.add(y), want.append((x, y, d))
+    assert sorted(tuple(r.values()) for r in mt._greedy_of_rows((), rows).to_pylist()) == sorted(want)
+
+
+def test_greedy_query_needs_no_round_for_each_tie(spark, tmp_path):
+    """Equal vectors tie in every pair, so rounds of pairs that are best for both ends take one pair each."""
+    from reelgrid.plans import joins
+
+    rows = [(i, [1.0] * 64, i % 2) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    sc = spark.sparkContext
+    sc.setJobGroup("greedy ties", "")
+    try:
+        got = sorted(tuple(r) for r in joins.greedy_pairs(spark, str(tmp_path)).collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [(i, i + 1, 0) for i in range(0, 24, 2)]
+    assert len(sc.statusTracker().getJobIdsForGroup("greedy ties")) < 15
+
+
 @pytest.mark.parametrize("most", [0, 5, 25, 40])
 def test_bounded_distance_is_exact(hashes, most):
     pairs = {tuple(r) for r in mt.distance_pairs(*hashes, "l", "r", "lh", "rh").collect() if r.distance <= most}
